@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, tokens
+from tidemark.llm import chats, decontaminate, lines, mixing, quality, sketch, tokens
 from tidemark.llm.common import table
 
 #: Vocabulary files of public tokenizers; a caller with another place sets this.
@@ -18,18 +18,37 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = (TOKENIZERS / "piece_bpe_32k.model").read_bytes()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, model).drop("text")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.find_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_token_counts, op9_decontaminate)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op5_token_counts, op6_minhash_dedup, op9_decontaminate, op10_chat_format)}
 
 ORACLES: dict[str, str] = {}
