@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chats, decontaminate, lines, mixing, quality, sketch, tokens
+from tidemark.llm import chats, classifier, decontaminate, extract, lines, mixing, quality, repeats, sketch, tokens
 from tidemark.llm.common import table
 
 #: Vocabulary files of public tokenizers; a caller with another place sets this.
@@ -29,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.score(docs, table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = (TOKENIZERS / "piece_bpe_32k.model").read_bytes()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +44,15 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.find_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).drop("kept")
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -49,6 +63,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op5_token_counts, op6_minhash_dedup, op9_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_token_counts, op6_minhash_dedup, op7_suffix_dedup, op8_html_extract, op9_decontaminate, op10_chat_format)}
 
 ORACLES: dict[str, str] = {}
