@@ -123,7 +123,7 @@ def repeated_bytes(docs, length=50):
             if seen[b[k : k + length]] < i:
                 cover[k : k + length] = b"\1" * length
         kept = bytes(c for c, x in zip(b, cover, strict=True) if not x)
-        spans = len(re.findall(rb"\1+", bytes(cover)))
+        spans = len(re.findall(rb"\x01+", bytes(cover)))
         out[i] = (len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest())
     return out
 

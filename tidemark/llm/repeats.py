@@ -58,7 +58,6 @@ class Segments:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, length: int):
         n = len(data) - length + 1
-        ends = np.cumsum(lengths)
         self.first = self.count = self.doc = np.zeros(0, np.int64)
         self.anchor = self.name = np.zeros(0, _U)
         if n <= 0:
@@ -66,7 +65,7 @@ class Segments:
         # hashes of all GRAM-byte strings by doubling
         h, step = _LETTERS[data], 1
         while step < GRAM:
-            h = h[:-step] * (_STEP * _U(2 * step + 1)) + h[step:]
+            h = h[:-step] * _U((int(_STEP) * (2 * step + 1)) % (1 << 64)) + h[step:]
             step *= 2
         h = mixed(h)
         # the least (hash, later place first) of each window
@@ -90,7 +89,6 @@ class Segments:
         sums = np.r_[_U(0), np.cumsum(letters, dtype=_U)]
         back = _powers(_BACK, len(data))
         self.name = mixed((sums[self.first + self.count + length - 1] - sums[self.first]) * back[self.first] + self.count.astype(_U))
-        del ends
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,25 +117,19 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the transforms' rows, as the piece of each row, and the interval (equal first ``depth``
     bytes) of each row."""
-    piece = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms])
+    piece = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(transforms) < 65536 else np.int64), [len(t) for t in transforms])
     joined = np.concatenate(transforms)
-    starts = np.cumsum([0, *(len(t) for t in transforms[:-1])])
-    interval = np.zeros(len(piece), np.int32)
     rows = np.arange(len(piece))  # rows of ``joined`` in the present interleave
+    interval = np.zeros(len(piece), np.int32)
     for _ in range(depth):
         letters = joined[rows]
         order = np.argsort(letters, kind="stable")
         letters, came, piece = letters[order], interval[order], piece[order]
-        fresh = np.cumsum(np.r_[0, (letters[1:] != letters[:-1]) | (came[1:] != came[:-1])]).astype(np.int32)
-        # each piece's rows keep their own order, so the interleave alone tells which row stands where
-        by_piece = np.argsort(piece.astype(np.uint16) if len(transforms) < 65536 else piece, kind="stable")
-        rows = np.empty(len(piece), np.int64)
-        rows[by_piece] = np.arange(len(piece))
-        same = fresh[-1] == interval[-1] and np.array_equal(fresh, interval)
-        interval = fresh
-        if same and _ > 8 and fresh[-1] == len(fresh) - 1:
+        interval = np.cumsum(np.r_[0, (letters[1:] != letters[:-1]) | (came[1:] != came[:-1])], dtype=np.int32)
+        # rows of a piece keep their order, so the interleave alone tells which row stands where
+        rows[np.argsort(piece, kind="stable")] = np.arange(len(piece))
+        if interval[-1] == len(piece) - 1:
             break
-    del starts
     return rows, interval
 
 
