@@ -9,7 +9,7 @@ of all pages makes many bounded groups. In each block:
 3. Valid classes nest: the slots of the template are what lies between neighbouring tokens of valid classes,
    and a slot is named by the path of template elements that are open there.
 4. The block decides which slots hold the main text: those inside article or main elements that are no reader
-   comments or, where a template has none, those of the body; never those inside menus, headers, footers, sidebars, notices,
+   comments or, on pages without any, those of the body; never those inside menus, headers, footers, sidebars, notices,
    adverts, forms or comments, which the template's elements tell by name, class or id.
 5. The texts of main slots are put out block by block.
 
@@ -139,8 +139,8 @@ def _bars(node: tuple) -> bool:
     return name in NO_TEXT or bool(marks & (COMMENT_WORDS if name in MAIN else NO_WORDS))
 
 
-def main_slots(pages: list[Page], template: set[tuple]) -> dict[tuple, bool]:
-    """Of each slot (path of open elements), whether it holds main text."""
+def main_slots(pages: list[Page], template: set[tuple]) -> list[dict[tuple, bool]]:
+    """For each page, which slots (paths of open elements) hold main text."""
     slots = {path for page in pages for kind, text, path in page.tokens if kind is None and text.strip()}
     # an element around a main element of the template is a wrapper, whatever its class says
     around: set[tuple] = set()
@@ -154,11 +154,9 @@ def main_slots(pages: list[Page], template: set[tuple]) -> dict[tuple, bool]:
         return any(_bars(path[k]) and path[: k + 1] not in around and path[: k + 1] not in inside for k in range(len(path)))
 
     good = {p for p in inside if not barred(p)}
-    out = {}
-    for path in slots:
-        within = any(path[: k + 1] in good for k in range(len(path))) if good else True
-        out[path] = within and not barred(path)
-    return out
+    bare = {path: not barred(path) for path in slots}
+    main = {path: ok and any(path[: k + 1] in good for k in range(len(path))) for path, ok in bare.items()}
+    return [main if any(path in good for _, path in page.roles()) else bare for page in pages]
 
 
 def render(page: Page, slots: dict[tuple, bool]) -> str:
@@ -186,7 +184,7 @@ def extract_block(sources: list[str | None]) -> list[str]:
     pages = [Page(s or "") for s in sources]
     template = deduce(pages)
     slots = main_slots(pages, template)
-    return [render(p, slots) for p in pages]
+    return [render(p, own) for p, own in zip(pages, slots, strict=True)]
 
 
 def extract(pages: DataFrame, *, page_html: str = "html", url: str = "url", block_chars: int = 1 << 20) -> DataFrame:
