@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import chats, classifier, decontaminate, extract, lines, mixing, quality, repeats, sketch, tokens
 from tidemark.llm.common import table
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary files of public tokenizers; a caller with another place sets this.
 TOKENIZERS = Path("/opt/tokenizers")
@@ -64,5 +65,3 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_token_counts, op6_minhash_dedup, op7_suffix_dedup, op8_html_extract, op9_decontaminate, op10_chat_format)}
-
-ORACLES: dict[str, str] = {}
