@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import ship_package
+
 PUT, DELETE = 1, 2
 
 
@@ -70,6 +72,7 @@ def decode(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """file, no, typ (1 value, 0 deletion), key, value of all log files under ``path``; each file in one task."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):

@@ -1,8 +1,10 @@
-"""Where working files go that all executors must see."""
+"""Where working files go that all executors must see, and how they get this package."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -11,3 +13,20 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need no path of their own.
+
+    The archive is made beside the driver and handed out by Spark's file server.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
