@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, materialize
+from tidemark.llm.common import map_batches, materialize, workers
 from tidemark.llm.quality import STATS, with_stats
 
 COSINES = 192
@@ -93,7 +93,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             at = np.triu_indices(size)
             yield pa.RecordBatch.from_arrays([pa.array(at[0] * size + at[1], pa.int32()), pa.array(sums[at])], names=["at", "x"])
 
-    parts = train.mapInArrow(normal, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    parts = workers(train).mapInArrow(normal, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(size * size)
     for row in parts:
         sums[row["at"]] = row["x"]

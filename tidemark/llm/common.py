@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.folders import ship_package
+
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +68,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def workers(df: DataFrame) -> DataFrame:
+    """``df`` itself, after this package was sent to its session's Python workers."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Append columns computed per Arrow batch. ``make`` runs once in each task and returns the batch function."""
     keep = df.columns if keep is None else keep
@@ -79,7 +87,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(columns + work(batch), names=names)
 
-    return df.mapInArrow(run, schema)
+    return workers(df).mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:

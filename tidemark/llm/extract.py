@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, small, without
+from tidemark.llm.common import materialize, small, without, workers
 
 # Fixed values of HTML: elements by how they behave.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -202,4 +202,4 @@ def extract(pages: DataFrame, *, page_html: str = "html", url: str = "url", bloc
         columns = [group.column(c) for c in keep]
         return pa.Table.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[f.name for f in schema.fields])
 
-    return rows.groupBy("__host", "__block").applyInArrow(work, schema)
+    return workers(rows).groupBy("__host", "__block").applyInArrow(work, schema)

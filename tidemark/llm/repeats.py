@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
@@ -192,7 +192,7 @@ def _shards(docs: DataFrame, text: str, doc_id: str, shard_bytes: int) -> DataFr
             yield row()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "shard string, ids array<bigint>, known array<boolean>, lengths array<bigint>, data binary")
+    return workers(rows).mapInArrow(run, "shard string, ids array<bigint>, known array<boolean>, lengths array<bigint>, data binary")
 
 
 def _open(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
