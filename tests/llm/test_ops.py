@@ -206,7 +206,8 @@ def test_repeats(spark, awkward, docs, empty):
     rng = random.Random(8)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.randrange(20, 90))) for _ in range(12)]
     made = [(i, "".join(rng.choice(parts) for _ in range(6))) for i in range(40)] + [(99, "ab" * 200), (100, "ab" * 30), (101, "ba" * 40)]
-    assert rows_of(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string")), *names) == brute.repeated_bytes(made)
+    for hot in (5000, 1):
+        assert rows_of(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"), hot=hot), *names) == brute.repeated_bytes(made)
     assert repeats.remove_repeats(empty).count() == 0
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in repeats.remove_repeats(named_null(spark)).collect())
     assert got == [(-1, 0), (-1, len(BASE)), (3, 0), (3, 0)]

@@ -10,6 +10,8 @@ transforms of shards, never by sorting all suffixes together:
    name of their segment and the doc_id.
 3. In a bucket, equal segments are told from others. All windows of a segment that an earlier document holds as a whole are repeated;
    an anchor with one document only has no repeats; what is left are the first copies of different segments of one anchor.
+   Equal segments of a shard go there once. An anchor with more than ``hot`` different segments (a passage that very
+   many documents surround differently) is cut into its windows, each dealt by its own content.
 4. Those come together in buckets with their bytes. The segments of one shard are a piece; each piece's transform is
    made, and the transforms are merged by refining their interleave: in round h the rows stand in order of their first h
    bytes, and a stable distribution by transform byte gives the order by h + 1 bytes. A row boundary that appears in
@@ -39,7 +41,7 @@ from tidemark.llm.sketch import mixed
 
 GRAM = 16
 SHARD_BYTES = 4 << 20
-ANCHORS_PER_BUCKET = 2_000_000
+ANCHORS_PER_BUCKET = 1_000_000
 PIECE_BYTES = 3 << 20
 BROADCAST_BYTES = 64 << 20
 LAST = np.int64((1 << 63) - 1)
@@ -85,10 +87,13 @@ class Segments:
         self.first, self.count = starts[real], counts[real]
         self.doc = owner[self.first]
         self.anchor = h[place[self.first]]
-        letters = _LETTERS[data] * _powers(_STEP, len(data))
-        sums = np.r_[_U(0), np.cumsum(letters, dtype=_U)]
-        back = _powers(_BACK, len(data))
-        self.name = mixed((sums[self.first + self.count + length - 1] - sums[self.first]) * back[self.first] + self.count.astype(_U))
+        self.sums = np.r_[_U(0), np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)), dtype=_U)]
+        self.back = _powers(_BACK, len(data))
+        self.name = self.name_of(self.first, self.count + length - 1)
+
+    def name_of(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64-bit names of strings by their place and size."""
+        return mixed((self.sums[first + size] - self.sums[first]) * self.back[first] + size.astype(_U))
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,16 +221,30 @@ def _beside(shards: DataFrame, marks: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "shard", "left")
 
 
+def firsts(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal keys, the one with the least doc: their places, and for each row which of them is its."""
+    order = np.lexsort((doc, *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        k = key[order]
+        new[1:] |= k[1:] != k[:-1]
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[new], own
+
+
 def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
     got = batch.column(batch.schema.get_field_index(name))[i].as_py() or []
     return {m["bucket"]: zlib.decompress(m["blob"]) for m in got}
 
 
-NONE, REPEATED, DIFFERS = 0, 1, 2
+NONE, REPEATED, DIFFERS, HOT = 0, 1, 2, 3
 
 
-def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of each segment in a bucket: NONE of its windows repeat, all are REPEATED, or it DIFFERS from others."""
+def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, hot: int) -> np.ndarray:
+    """Of each segment in a bucket: NONE of its windows repeat, all are REPEATED, or it DIFFERS from others (HOT if
+    more than ``hot`` segments differ at one anchor)."""
     order = np.lexsort((doc, name, anchor))
     a, s, d = anchor[order], name[order], doc[order]
     new_a = np.r_[True, a[1:] != a[:-1]]
@@ -234,13 +253,13 @@ def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.n
     starts, group = np.flatnonzero(new_a), np.cumsum(new_a) - 1
     kinds = np.add.reduceat(new_s.astype(np.int64), starts)[group]
     many = (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))[group]
-    verdict = np.where(d > first_s, REPEATED, np.where((kinds > 1) & many, DIFFERS, NONE)).astype(np.uint8)
+    verdict = np.where(d > first_s, REPEATED, np.where((kinds > 1) & many, np.where(kinds > hot, HOT, DIFFERS), NONE)).astype(np.uint8)
     out = np.empty(len(a), np.uint8)
     out[order] = verdict
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of ``docs``."""
     shards = materialize(_shards(docs, text, doc_id, SHARD_BYTES))
     total = shards.agg(F.sum(F.length("data"))).first()[0] or 0
@@ -250,22 +269,23 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         for batch in batches:
             for i in range(len(batch)):
                 _, _, ids, own = _open(batch, i, length)
-                order, cut = _deal(own.anchor, buckets)
+                kept, _ = firsts(ids[own.doc], own.name, own.anchor)
+                order, cut = _deal(own.anchor[kept], buckets)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
                 rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 blobs = []
                 for b in rows:
-                    at = order[cut[b] : cut[b + 1]]
+                    at = kept[order[cut[b] : cut[b + 1]]]
                     blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
     def decide(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b.as_py(), _U).reshape(3, -1) for b in group.column("blob")]
         both = np.concatenate(blobs, axis=1)
-        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64))
+        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), hot)
         cuts = np.cumsum([b.shape[1] for b in blobs])[:-1]
         parts = np.split(verdict, cuts)
-        return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
+        return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) + length * int((p == HOT).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
 
     dealt = shards.select("shard", "ids", "lengths", "data").mapInArrow(anchors, "shard string, bucket bigint, blob binary")
     verdicts = materialize(dealt.groupBy("bucket").applyInArrow(decide, "shard string, bucket bigint, blob binary, differ bigint"))
@@ -273,26 +293,40 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     pieces = max(1, math.ceil(differ * (length + GRAM) / PIECE_BYTES))
     marked = _beside(shards, verdicts.select("shard", "bucket", "blob"))
 
-    def verdict_of(batch, i, own):
-        order, cut = _deal(own.anchor, buckets)
-        out = np.zeros(len(own.anchor), np.uint8)
-        for b, blob in _marks_of(batch, i, "marks").items():
-            out[order[cut[b] : cut[b + 1]]] = np.frombuffer(blob, np.uint8)
-        return out
+    def units(batch, i, column, data, ids, own):
+        """The verdicts and what is to be ordered: segments that differ and, of hot anchors, single windows, each
+        dealt by its own content and one for each content."""
+        kept, which = firsts(ids[own.doc], own.name, own.anchor)
+        order, cut = _deal(own.anchor[kept], buckets)
+        verdict = np.zeros(len(kept), np.uint8)
+        for b, blob in _marks_of(batch, i, column).items():
+            verdict[order[cut[b] : cut[b + 1]]] = np.frombuffer(blob, np.uint8)
+        doc = ids[own.doc]
+        later = doc > doc[kept][which] if len(kept) else np.zeros(0, bool)
+        verdict = np.where(later, REPEATED, verdict[which]) if len(kept) else verdict
+        at, hots = np.flatnonzero(verdict == DIFFERS), np.flatnonzero(verdict == HOT)
+        counts = own.count[hots]
+        starts = np.repeat(own.first[hots] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        of_doc = np.repeat(doc[hots], counts)
+        keys = own.name_of(starts, np.full(len(starts), length)) if len(starts) else np.zeros(0, _U)
+        single, of_single = firsts(of_doc, keys)
+        unit = np.r_[own.first[at], starts[single]], np.r_[own.count[at], np.ones(len(single), np.int64)], np.r_[own.anchor[at], keys[single]], np.r_[doc[at], of_doc[single]]
+        behind = of_doc > of_doc[single][of_single] if len(single) else np.zeros(0, bool)
+        return verdict, unit, (starts, of_single + len(at), behind)
 
     def bring(batches):
         for batch in batches:
             for i in range(len(batch)):
                 data, _, ids, own = _open(batch, i, length)
-                at = np.flatnonzero(verdict_of(batch, i, own) == DIFFERS)
-                order, cut = _deal(own.anchor[at], pieces)
+                _, (first, count, key, doc), _ = units(batch, i, "marks", data, ids, own)
+                order, cut = _deal(key, pieces)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
                 rows = [b for b in range(pieces) if cut[b] < cut[b + 1]]
                 docs_, strings = [], []
                 for b in rows:
-                    take = at[order[cut[b] : cut[b + 1]]]
-                    docs_.append(ids[own.doc[take]].tolist())
-                    strings.append([data[f : f + c + length - 1].tobytes() for f, c in zip(own.first[take].tolist(), own.count[take].tolist(), strict=True)])
+                    take = order[cut[b] : cut[b + 1]]
+                    docs_.append(doc[take].tolist())
+                    strings.append([data[f : f + c + length - 1].tobytes() for f, c in zip(first[take].tolist(), count[take].tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(docs_, pa.list_(pa.int64())), pa.array(strings, pa.list_(pa.binary()))], names=["shard", "bucket", "docs", "strings"])
 
     def order_windows(group: pa.Table) -> pa.Table:
@@ -308,20 +342,22 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         for batch in batches:
             for i in range(len(batch)):
                 data, lengths, ids, own = _open(batch, i, length)
-                verdict = verdict_of(batch.rename_columns(["marks" if c == "verdicts" else "windows" if c == "marks" else c for c in batch.schema.names]), i, own)
+                verdict, (first, count, key, _), (starts, of_unit, behind) = units(batch, i, "verdicts", data, ids, own)
                 diff = np.zeros(len(data) + 1, np.int32)
                 whole = verdict == REPEATED
                 np.add.at(diff, own.first[whole], 1)
                 np.add.at(diff, own.first[whole] + own.count[whole] + length - 1, -1)
-                at = np.flatnonzero(verdict == DIFFERS)
-                order, cut = _deal(own.anchor[at], pieces)
+                order, cut = _deal(key, pieces)
+                place = np.cumsum(count) - count
+                hit = np.zeros(int(count.sum()), bool)  # a flag for each window of each unit
                 for b, blob in _marks_of(batch, i, "marks").items():
-                    take = at[order[cut[b] : cut[b + 1]]]
-                    counts = own.count[take]
-                    bits = np.unpackbits(np.frombuffer(blob, np.uint8))[: counts.sum()].astype(bool)
-                    starts = np.repeat(own.first[take] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                    np.add.at(diff, starts[bits], 1)
-                    np.add.at(diff, starts[bits] + length, -1)
+                    take = order[cut[b] : cut[b + 1]]
+                    n = count[take]
+                    hit[np.repeat(place[take] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.unpackbits(np.frombuffer(blob, np.uint8))[: n.sum()].astype(bool)
+                windows = np.repeat(first - place, count) + np.arange(len(hit))
+                found = np.r_[windows[hit], starts[behind | hit[place[of_unit]]]] if len(starts) else windows[hit]
+                np.add.at(diff, found, 1)
+                np.add.at(diff, found + length, -1)
                 covered = np.cumsum(diff[:-1]) > 0
                 known = batch.column(batch.schema.get_field_index("known"))[i].as_py()
                 out, end = [], 0
