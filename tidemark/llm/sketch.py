@@ -6,15 +6,15 @@ floor(1 - log_b of the smallest of exponential values that hash j gives to the s
 registers of unions are the maxima of registers, and two sets agree in a register with a probability close to
 their similarity. Then:
 
-1. Bands of registers that agree make candidates. In each band value, the smallest member is the pivot and is
-   paired with the others; no other pairs arise, and those that later fall into one component need none.
-2. The joint likelihood of the registers (how many are greater, smaller and equal, given both set sizes) drops
-   pairs that are certain to be too far apart.
-3. The rest are confirmed on the full sets, by integers: 100 * intersection >= similarity * union.
+1. Bands of registers that agree make candidates. Nodes that share band values, directly or through others, form
+   a cluster; clusters come from star edges to the smallest member of each band value, so no pairs arise in Spark.
+2. A cluster is cut into blocks of about ``BLOCK_SHINGLES`` shingles. Each pair of blocks is a group of rows of its own, so no
+   task grows with a group of copies. In a group, pairs that agree in a band and are not yet connected are
+   looked at; the joint likelihood of the registers (how many are greater, smaller and equal, given both set sizes) drops
+   those that are certain to be too far apart.
+3. The rest are confirmed on the full sets, by integers: 100 * intersection >= similarity * union. A group puts out
+   the links of a spanning forest only.
 4. Confirmed links make components by repeated smallest labels and label jumping.
-5. Band values whose members are in several components get another pivot, compared with all members of other
-   components, and so on; after ``PIVOTS`` rounds all pairs of members of different components that were not compared yet
-   are. So every pair that agrees in a band is either compared or in one component.
 
 A pair at similarity 0.8 agrees in none of the 48 bands of 6 registers with a probability below 1e-6.
 
@@ -38,7 +38,8 @@ from tidemark.llm.common import discard, map_batches, materialize, small, texts_
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.02, 2000
-PIVOTS = 6
+#: Shingles of a block: 8 bytes each in memory.
+BLOCK_SHINGLES = 1 << 18
 #: Rows up to which a counted table of ids is broadcast.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -104,6 +105,11 @@ def joint_estimate(n1: np.ndarray, n2: np.ndarray, above: np.ndarray, below: np.
     return j[np.arange(len(j)), likelihood.argmax(axis=1)]
 
 
+def _set_name(names: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return int(mixed(names).sum(dtype=_U).astype(np.int64)), int(mixed(names ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
+
+
 def _sketched(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """doc_id, h1 and h2 (name of the set), n_shingles, bands, registers."""
 
@@ -116,8 +122,8 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
             for t in texts_of(batch, "text"):
                 names = shingles(t, words)
                 sizes.append(len(names))
-                h1.append(int(mixed(names).sum(dtype=_U).astype(np.int64)))
-                h2.append(int(mixed(names ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)))
+                for out, part in zip((h1, h2), _set_name(names), strict=True):
+                    out.append(part)
                 own = registers(names) if len(names) else None
                 regs.append(None if own is None else own.tobytes())
                 grid = None if own is None else (own.astype(np.int64) + 4096).astype(_U).reshape(BANDS, ROWS)
@@ -132,51 +138,66 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return map_batches(rows, make, added, ["doc_id"])
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose joint estimate is not certainly too low: 7 standard deviations of slack."""
-    least = similarity - 7 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
-    own = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
-    joined = pairs.join(own("a"), "a").join(own("b"), "b")
-    # sizes alone bound the similarity
-    joined = joined.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(similarity * 100))
+def _links(group: pa.Table, similarity: int) -> pa.Table:
+    """Confirmed links between the two blocks of a group (or within its only block): a spanning forest."""
+    node = group.column("node").to_numpy()
+    left = group.column("side").to_numpy() == 0
+    one = bool(left.all())
+    n = group.column("n_shingles").to_numpy().astype(np.float64)
+    bands = np.array([x.as_py() for x in group.column("bands")], np.int64).reshape(-1, BANDS)
+    regs = np.frombuffer(b"".join(x.as_py() for x in group.column("registers")), np.int16).reshape(-1, REGISTERS)
+    names = np.concatenate([np.frombuffer(x.as_py(), _U) for x in group.column("names")])
+    _, ids = np.unique(names, return_inverse=True)
+    starts = np.r_[0, np.cumsum(n.astype(np.int64))]
+    flag = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    least = similarity / 100 - 7 * math.sqrt(similarity / 100 * (1 - similarity / 100) / REGISTERS)
+    root = np.arange(len(node))
+    others = np.arange(len(node)) if one else np.flatnonzero(~left)
+    a_out, b_out = [], []
+    for a in np.arange(len(node)) if one else np.flatnonzero(left):
+        b = others[others > a] if one else others
+        b = b[root[b] != root[a]]
+        b = b[np.minimum(n[b], n[a]) * 100 >= np.maximum(n[b], n[a]) * similarity]
+        b = b[(bands[b] == bands[a]).any(axis=1)]
+        if len(b):
+            estimate = joint_estimate(np.full(len(b), n[a]), n[b], (regs[b] < regs[a]).sum(axis=1), (regs[b] > regs[a]).sum(axis=1), (regs[b] == regs[a]).sum(axis=1))
+            b = b[estimate >= least]
+        if not len(b):
+            continue
+        flag[ids[starts[a] : starts[a + 1]]] = True
+        for q in b:
+            if root[q] != root[a]:
+                both = int(flag[ids[starts[q] : starts[q + 1]]].sum())
+                if 100 * both >= similarity * (int(n[a]) + int(n[q]) - both):
+                    a_out.append(node[a])
+                    b_out.append(node[q])
+                    root[root == root[q]] = root[a]
+        flag[ids[starts[a] : starts[a + 1]]] = False
+    return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) within clusters."""
+    known = materialize(clusters.join(nodes, "node"))
+    sums = known.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
+    own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(small(clusters.select("node"), BROADCAST_ROWS), "node", "left_semi")
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            if not len(batch):
-                return [pa.array([], pa.float64())]
-            left, right = (np.frombuffer(b"".join(get(c).to_pylist()), np.int16).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-            out = []
-            for at in range(0, len(left), 2000):
-                x, y = left[at : at + 2000], right[at : at + 2000]
-                n1, n2 = (get(c).to_numpy(zero_copy_only=False)[at : at + 2000].astype(np.float64) for c in ("n_a", "n_b"))
-                out.append(joint_estimate(n1, n2, (x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1)))
-            return [pa.array(np.concatenate(out), pa.float64())]
+            texts = list(texts_of(batch, "text"))
+            sets = [shingles(t, words) for t in texts]
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_set_name(s)[0] for s in sets], pa.int64())]
 
         return work
 
-    return map_batches(joined, make, [T.StructField("estimate", T.DoubleType())], ["a", "b"]).where(F.col("estimate") >= least).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(small(wanted, BROADCAST_ROWS), "node", "left_semi")
-
-    def make():
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([shingles(t, words).view(np.int64) for t in texts_of(batch, "text")], pa.list_(pa.int64()))]
-
-        return work
-
-    sets = materialize(map_batches(own, make, [T.StructField("names", T.ArrayType(T.LongType()))], ["node"]).where(F.size("names") > 0).dropDuplicates(["node"]))
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("names").alias(f"s_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    joined = joined.withColumn("both", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    union = F.size("s_a") + F.size("s_b") - F.col("both")
-    out = materialize(joined.where(100 * F.col("both") >= round(similarity * 100) * union).select("a", "b"))
-    discard(sets)
-    return out
+    fields = [T.StructField("names", T.BinaryType()), T.StructField("h1", T.LongType())]
+    sets = map_batches(own, make, fields, ["node"]).dropDuplicates(["node", "h1"])
+    rows = known.join(sets, ["node", "h1"]).join(sums, "component")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": F.when(F.col("block") <= F.col("other"), 0).otherwise(1)})
+    limit = round(similarity * 100)
+    return materialize(rows.select("component", "i", "j", "side", "node", "n_shingles", "bands", "registers", "names").groupBy("component", "i", "j").applyInArrow(lambda group: _links(group, limit), "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,39 +225,13 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     # a doc_id on rows with different texts is one document: its rows are linked by their common node
     nodes = materialize(one.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "h1", "h2"]))
     members = nodes.select("node", F.explode("bands").alias("band"))
-
-    shared = small(materialize(members.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot")), BROADCAST_ROWS)
-    members = materialize(members.join(shared.select("band"), "band", "left_semi"))
-    pairs = members.join(shared, "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared = materialize(members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("band", "a"))
+    stars = members.join(small(shared, BROADCAST_ROWS), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    clusters = components(stars)
+    links = _confirmed(clusters, nodes, docs, text, doc_id, words, similarity)
     same_id = rows.where("n_shingles > 0").join(classes, ["h1", "h2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     same_id = same_id.join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct()
-    tried = materialize(pairs)
-    links = _confirmed(materialize(_likely(tried, nodes, similarity)), docs, text, doc_id, words, similarity).union(same_id)
-    found = components(links)
-    pivots = shared.select("band", F.col("pivot").alias("p"))
-    for turn in range(PIVOTS + 1):
-        labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
-        split = labelled.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
-        split = materialize(split)
-        if not split.limit(1).count():
-            break
-        open_ = materialize(labelled.join(small(split, BROADCAST_ROWS), "band", "left_semi"))
-        if turn < PIVOTS:
-            fresh = open_.join(pivots.select("band", F.col("p").alias("node")), ["band", "node"], "left_anti")
-            chosen = materialize(fresh.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("p")))
-            picked = chosen.join(open_.select("band", F.col("node").alias("p"), F.col("c").alias("pc")), ["band", "p"]).distinct()
-            pivots = materialize(pivots.union(chosen))
-            more = open_.join(small(materialize(picked), BROADCAST_ROWS), "band").where("c <> pc")
-            more = more.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        else:
-            other = open_.select("band", F.col("node").alias("o"), F.col("c").alias("oc"))
-            more = open_.join(other, "band").where("c < oc").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-        more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = materialize(tried.union(more))
-        new = _confirmed(materialize(_likely(more, nodes, similarity)), docs, text, doc_id, words, similarity)
-        if new.limit(1).count():
-            links = materialize(links.union(new))
-            found = components(links)
+    found = components(links.union(same_id))
 
     named = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2"], "left")
