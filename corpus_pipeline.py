@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lines, mixing, quality, sketch
+from tidemark.llm import decontaminate, lines, mixing, oracles, quality, sketch
 from tidemark.llm.common import WORD, shared_dir, table
 
 
@@ -46,8 +46,8 @@ STAGES = [
     ("mixing", mixture),
 ]
 
-#: Weak supervision and similarity search are beyond SQL; tests hold the stages to brute-force versions.
-ORACLE_SQL = None
+#: The same rows by SQL: every stage's query inside the next.
+ORACLE_SQL = oracles.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

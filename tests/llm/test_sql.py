@@ -8,3 +8,29 @@ from tidemark.llm.queries import ORACLES, QUERIES
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     assert_same(QUERIES[name](spark, sf), ORACLES[name], sf)
+
+
+def test_pipeline_equals_sql(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    assert_same(corpus_pipeline.run(spark, sf), corpus_pipeline.ORACLE_SQL, sf)
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.test_ops import AWKWARD
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string"
+    rows = [(i, t, None, f"s{i % 3}" if i % 5 else None, None, "x", "y") for i, t in enumerate(AWKWARD)] + [(None, "a b c d e f g h i j k", None, None, None, None, None)] * 2
+    spark.createDataFrame([(1, "word0 word1"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "mixing":
+                assert out.columns == docs.columns
+                out.write.mode("overwrite").parquet(f"{tmp_path}/{name}{len(data)}")
+                docs = spark.read.parquet(f"{tmp_path}/{name}{len(data)}")
+            else:
+                assert {"taken", "target"} <= set(out.columns) and (out.count() > 0 or not data)

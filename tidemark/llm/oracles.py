@@ -91,8 +91,10 @@ k AS (SELECT r.*, NOT has OR ((doc_id, no) = f.first AND r.line NOT IN (SELECT l
 SELECT d.doc_id, coalesce(CAST(sum(CAST(has AS BIGINT)) AS BIGINT), 0) AS n_lines, coalesce(CAST(sum(CAST(has AND NOT stays AS BIGINT)) AS BIGINT), 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(k.line, chr(10) ORDER BY no) FILTER (WHERE stays), '') END AS text
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text"""
 
-NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM w),
+def near(words: int) -> str:
+    """Exact similarity by joining shingles; with fewer words, the whole sequence is one."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(1, len(w) - {words - 1}) + 1), lambda i: array_to_string(w[i : i + {words - 1}], ' ')) END) AS x FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
@@ -101,6 +103,7 @@ c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, e.b FROM
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.a = d.doc_id"""
 
+
 REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS x FROM (SELECT *, unnest(range(0, greatest(0, n - 49))) AS s FROM d)),
 f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING count(*) > 1),
@@ -136,8 +139,19 @@ ORACLES = {
     "op1_mix_sources": MIX,
     "op2_quality_rules": _quality(),
     "op3_line_dedup": LINES,
-    "op6_minhash_dedup": NEAR,
+    "op6_minhash_dedup": near(2),
     "op7_suffix_dedup": REPEATS,
     "op9_decontaminate": LEAKS,
     "op10_chat_format": CHATS,
 }
+
+
+def pipeline() -> str:
+    """The stages of the corpus pipeline one inside the other; each names its input ``documents``."""
+    columns = "doc_id, text, lang, source, n_chars"
+    return f"""WITH kept1 AS (SELECT {columns} FROM documents JOIN (SELECT doc_id, kept FROM ({_quality()})) USING (doc_id) WHERE kept),
+kept2 AS (WITH documents AS (SELECT * FROM kept1) SELECT doc_id, l.text, lang, source, length(l.text) AS n_chars FROM (SELECT doc_id, lang, source FROM documents) JOIN ({LINES}) l USING (doc_id) WHERE regexp_matches(l.text, {WORD})),
+kept3 AS (WITH documents AS (SELECT * FROM kept2) SELECT {columns} FROM documents JOIN (SELECT doc_id, kept FROM ({near(5)})) USING (doc_id) WHERE kept),
+kept4 AS (WITH documents AS (SELECT * FROM kept3) SELECT {columns} FROM documents JOIN (SELECT doc_id, contaminated FROM ({LEAKS})) USING (doc_id) WHERE NOT contaminated),
+kept5 AS (WITH documents AS (SELECT * FROM kept4) SELECT {columns}, size, source_size, target, taken FROM documents JOIN ({MIX}) USING (doc_id) WHERE taken > 0)
+SELECT * FROM kept5"""
