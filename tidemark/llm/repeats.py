@@ -3,13 +3,14 @@
 The suffixes that matter are those of repeated strings, and their order is found by merging Burrows-Wheeler
 transforms of shards, never by sorting all suffixes together:
 
-1. Texts are packed into shards of a few MB, written once as a table.
+1. Texts are packed into shards of about 1 MB, written once as a table.
 2. In every ``length``-byte window the ``GRAM``-byte string with the least hash is its anchor (the rightmost, if
    several are equal). The windows of one anchor follow each other and make a segment. An anchor is chosen by the
    content of a window alone, so equal windows have equal anchors. Anchors are dealt by hash into buckets, with a
    name of their segment and the doc_id.
 3. In a bucket, equal segments are told from others. All windows of a segment that an earlier document holds as a whole are repeated;
-   an anchor with one document only has no repeats; what is left are the first copies of different segments of one anchor.
+   an anchor with one document only has no repeats; what is left are the first copies of different segments of one
+   anchor that agree with another in the bytes before or after it.
    Equal segments of a shard go there once. An anchor with more than ``hot`` different segments (a passage that very
    many documents surround differently) is cut into its windows, each dealt by its own content.
 4. Those come together in buckets with their bytes. The segments of one shard are a piece; each piece's transform is
@@ -40,9 +41,9 @@ from tidemark.llm.common import materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 ANCHORS_PER_BUCKET = 1_000_000
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 1 << 20
 BROADCAST_BYTES = 64 << 20
 LAST = np.int64((1 << 63) - 1)
 _U = np.uint64
@@ -51,8 +52,17 @@ _STEP = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.r_[_U(1), np.full(max(0, n - 1), base, _U)], dtype=_U)
+    """Powers 0..n-1, kept in the worker between shards of usual size."""
+    have = _known_powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.cumprod(np.r_[_U(1), np.full(max(0, n - 1), base, _U)], dtype=_U)
+        if n <= 4 * SHARD_BYTES:
+            _known_powers[int(base)] = have
+    return have[:n]
 
 
 class Segments:
@@ -60,8 +70,8 @@ class Segments:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, length: int):
         n = len(data) - length + 1
-        self.first = self.count = self.doc = np.zeros(0, np.int64)
-        self.anchor = self.name = np.zeros(0, _U)
+        self.first = self.count = self.doc = self.place = np.zeros(0, np.int64)
+        self.anchor = self.name = self.beside = np.zeros(0, _U)
         if n <= 0:
             return
         # hashes of all GRAM-byte strings by doubling
@@ -87,10 +97,20 @@ class Segments:
         self.first, self.count = starts[real], counts[real]
         self.doc = owner[self.first]
         self.anchor = h[place[self.first]]
+        self.place = place[self.first]
         self.sums = np.r_[_U(0), np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)), dtype=_U)]
         self.back = _powers(_BACK, len(data))
         self.name = self.name_of(self.first, self.count + length - 1)
 
+        # 32 bits each for the bytes before and after the anchor; a place that stands for itself where they are too few
+        half = (length - GRAM) // 2
+        own = mixed(self.first.astype(_U) + self.name) >> _U(32)
+        before, behind = self.place - self.first >= half, self.first + self.count + length - 1 - self.place - GRAM >= half
+        size = np.full(len(self.place), half)
+        left = np.where(before, self.name_of(np.where(before, self.place - half, 0), size) >> _U(32), own)
+        right = np.where(behind, self.name_of(np.where(behind, self.place + GRAM, 0), size) >> _U(32), own)
+        self.beside = (left << _U(32)) | right
+
     def name_of(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """64-bit names of strings by their place and size."""
         return mixed((self.sums[first + size] - self.sums[first]) * self.back[first] + size.astype(_U))
@@ -221,17 +241,19 @@ def _beside(shards: DataFrame, marks: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "shard", "left")
 
 
-def firsts(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with equal keys, the one with the least doc: their places, and for each row which of them is its."""
-    order = np.lexsort((doc, *keys))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        k = key[order]
-        new[1:] |= k[1:] != k[:-1]
+def firsts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal keys, one with the least doc: their places, and for each row which of them is its."""
+    order = np.argsort(key, kind="stable")
+    sorted_key, sorted_doc = key[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    group = np.cumsum(new) - 1
     own = np.empty(len(order), np.int64)
-    own[order] = np.cumsum(new) - 1
-    return order[new], own
+    own[order] = group
+    if not len(order):
+        return order, own
+    at = np.flatnonzero(sorted_doc == np.minimum.reduceat(sorted_doc, np.flatnonzero(new))[group])
+    return order[at[np.r_[True, group[at][1:] != group[at][:-1]]]], own
 
 
 def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
@@ -242,20 +264,41 @@ def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
 NONE, REPEATED, DIFFERS, HOT = 0, 1, 2, 3
 
 
-def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, hot: int) -> np.ndarray:
+def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside: np.ndarray, hot: int) -> np.ndarray:
     """Of each segment in a bucket: NONE of its windows repeat, all are REPEATED, or it DIFFERS from others (HOT if
-    more than ``hot`` segments differ at one anchor)."""
-    order = np.lexsort((doc, name, anchor))
+    more than ``hot`` segments differ at one anchor).
+
+    A window that holds an anchor of GRAM bytes holds half of the other bytes before or after it, so segments of one
+    anchor can share a window only if they agree in one of the two.
+    """
+    out = np.zeros(len(anchor), np.uint8)
+    by_anchor = np.argsort(anchor, kind="stable")
+    same = anchor[by_anchor][1:] == anchor[by_anchor][:-1]
+    shared = by_anchor[np.r_[False, same] | np.r_[same, False]]  # anchors that are alone have no repeats
+    if not len(shared):
+        return out
+    order = shared[np.lexsort((doc[shared], name[shared], anchor[shared]))]
     a, s, d = anchor[order], name[order], doc[order]
-    new_a = np.r_[True, a[1:] != a[:-1]]
-    new_s = new_a | np.r_[True, s[1:] != s[:-1]]
+    new_s = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
     first_s = d[np.flatnonzero(new_s)][np.cumsum(new_s) - 1]
-    starts, group = np.flatnonzero(new_a), np.cumsum(new_a) - 1
-    kinds = np.add.reduceat(new_s.astype(np.int64), starts)[group]
-    many = (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))[group]
-    verdict = np.where(d > first_s, REPEATED, np.where((kinds > 1) & many, np.where(kinds > hot, HOT, DIFFERS), NONE)).astype(np.uint8)
-    out = np.empty(len(a), np.uint8)
-    out[order] = verdict
+    out[order] = np.where(d > first_s, REPEATED, NONE)
+    one = order[new_s]  # the first copy of each segment
+    differs = np.zeros(len(one), bool)
+    for side in (beside[one] >> _U(32), beside[one] & _U(0xFFFFFFFF)):
+        by = np.lexsort((side, anchor[one]))
+        new = np.r_[True, (anchor[one][by][1:] != anchor[one][by][:-1]) | (side[by][1:] != side[by][:-1])]
+        starts, group, docs = np.flatnonzero(new), np.cumsum(new) - 1, doc[one][by]
+        differs[by] |= (np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts))[group]
+    left = one[differs]  # in order of their anchors
+    if len(left):
+        new = np.r_[True, anchor[left][1:] != anchor[left][:-1]]
+        many = np.diff(np.r_[np.flatnonzero(new), len(left)])[np.cumsum(new) - 1]
+        equal = np.where(many > hot, HOT, DIFFERS).astype(np.uint8)
+        verdict = np.zeros(len(anchor), np.uint8)
+        verdict[left] = equal
+        # copies in the same document as the first fare like it
+        of_first = verdict[one][np.cumsum(new_s) - 1]
+        out[order] = np.where(d > first_s, REPEATED, of_first)
     return out
 
 
@@ -269,20 +312,20 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         for batch in batches:
             for i in range(len(batch)):
                 _, _, ids, own = _open(batch, i, length)
-                kept, _ = firsts(ids[own.doc], own.name, own.anchor)
+                kept, _ = firsts(ids[own.doc], own.name)
                 order, cut = _deal(own.anchor[kept], buckets)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
                 rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 blobs = []
                 for b in rows:
                     at = kept[order[cut[b] : cut[b + 1]]]
-                    blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes())
+                    blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes() + own.beside[at].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
     def decide(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_py(), _U).reshape(3, -1) for b in group.column("blob")]
+        blobs = [np.frombuffer(b.as_py(), _U).reshape(4, -1) for b in group.column("blob")]
         both = np.concatenate(blobs, axis=1)
-        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), hot)
+        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), both[3], hot)
         cuts = np.cumsum([b.shape[1] for b in blobs])[:-1]
         parts = np.split(verdict, cuts)
         return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) + length * int((p == HOT).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
@@ -296,7 +339,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     def units(batch, i, column, data, ids, own):
         """The verdicts and what is to be ordered: segments that differ and, of hot anchors, single windows, each
         dealt by its own content and one for each content."""
-        kept, which = firsts(ids[own.doc], own.name, own.anchor)
+        kept, which = firsts(ids[own.doc], own.name)
         order, cut = _deal(own.anchor[kept], buckets)
         verdict = np.zeros(len(kept), np.uint8)
         for b, blob in _marks_of(batch, i, column).items():
