@@ -42,6 +42,8 @@ from tidemark.llm.sketch import mixed
 
 GRAM = 16
 SHARD_BYTES = 1 << 20
+#: Most bytes of an Arrow batch in this session, from the first use of the operator.
+BATCH_BYTES = 8 << 20
 ANCHORS_PER_BUCKET = 1_000_000
 PIECE_BYTES = 1 << 20
 BROADCAST_BYTES = 64 << 20
@@ -304,6 +306,8 @@ def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside:
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of ``docs``."""
+    # a row of a shard has about 1 MB, and batches of rows stand in memory several times
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     shards = materialize(_shards(docs, text, doc_id, SHARD_BYTES))
     total = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, math.ceil(total / ((length - GRAM + 2) / 2) / ANCHORS_PER_BUCKET))
