@@ -251,6 +251,31 @@ def test_extract(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, sources):
+    df = spark.createDataFrame([(i, "http://t.example/x", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
+    return [r["text"] for r in extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_extract_drops_unlabelled_text_that_a_host_shares(spark):
+    page = "<body><div><p>Our <b>shop</b> opens at nine.</p></div><div><h2>Title {0}</h2><p>Body {0}, first.<p>Body {0}, second.</div><div class=header><h1>Head {0}</h1>Call us</div><div class=ad>Buy {1}</div><p>All rights kept.</body>"
+    made = [page.format(i, "this" if i % 2 else "that") for i in range(8)]
+    want = [f"Title {i}\n\nBody {i}, first.\n\nBody {i}, second.\n\nHead {i}" for i in range(8)]
+    assert extracted(spark, made) == want
+    # copies of a page are no evidence, nor are two pages
+    assert set(extracted(spark, made[:1] * 8)) == {"Our shop opens at nine.\n\nTitle 0\n\nBody 0, first.\n\nBody 0, second.\n\nAll rights kept."}
+    assert extracted(spark, made[:2])[1].startswith("Our shop opens at nine.")
+
+
+def test_deduce_classes_are_ordered_and_nest():
+    up = lambda r: 0
+    assert extract.deduce([[2, 4, -1, 5, 3]] * 3, up) == {2, 3, 4, 5, -1}
+    assert extract.deduce([[2, 4, 5, 3]] * 2, up) == set()
+    # one order on each page, or the elements are no class; shared texts stay classes of their own
+    assert extract.deduce([[2, 4, -1], [4, 2, -1], [2, 4, -1]], up) == {-1}
+    # (4, 5) comes once more than (2, 3) on a page and is cut through by it
+    assert extract.deduce([[2, 4, 3, 5], [2, 4, 3, 5], [2, 4, 3, 5, 4, 5]], up) == {2, 3}
+
+
 def test_contamination(spark, awkward, docs, empty):
     items = [(1, BASE[:200]), (2, "one"), (3, None), (4, "!!"), (None, "ten word11"), (1, "zero"), (5, "テキスト 日本語 テキスト"), (12, "WORD0 word1 Word2")]
     df = spark.createDataFrame(items, "item_id long, text string")
