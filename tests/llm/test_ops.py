@@ -266,6 +266,21 @@ def test_extract_drops_unlabelled_text_that_a_host_shares(spark):
     assert extracted(spark, made[:2])[1].startswith("Our shop opens at nine.")
 
 
+def test_extract_keeps_unique_text_under_hinting_names(spark):
+    parts = ["<section id='search-trees'><p>Trees {0}</section>", "<div class='alert-box'>Box {0}</div>", "<div class='article-header'><h1>One {0}</h1></div>", "<header><h1>Two {0}</h1></header>", "<aside>Aside {0}</aside>", "<div id='reply-to-critics'>Reply {0}</div>", "<p>See <span class='social-theory'>theory {0}</span>, too"]
+    shared = "<div class=share>Share <a>this</a></div><p class=notice>We use cookies</p>"
+    barred = "<nav>Go {0}</nav><form>Send {0}</form><div class='comment-list'>Comment {0}</div>"
+    page = "<body><article><p>Text {0}" + "".join(parts) + shared + barred + "</article><p>Outside {0}</body>"
+    want = [f"Text {i}\n\nTrees {i}\n\nBox {i}\n\nOne {i}\n\nTwo {i}\n\nAside {i}\n\nReply {i}\n\nSee theory {i}, too" for i in range(6)]
+    assert extracted(spark, [page.format(i) for i in range(6)]) == want
+    # on one page of many
+    plain = "<body><article><p>Text {0}" + shared + "</article></body>"
+    assert extracted(spark, [plain.format(i) for i in range(6)] + [page.format(9)])[-1] == want[0].replace("0", "9")
+    # adverts that rotate recur
+    rotating = "<body><article><p>Text {0}<div class=ad>Buy {1}</div></article></body>"
+    assert extracted(spark, [rotating.format(i, i % 4) for i in range(12)]) == [f"Text {i}" for i in range(12)]
+
+
 def test_deduce_classes_are_ordered_and_nest():
     up = lambda r: 0
     assert extract.deduce([[2, 4, -1, 5, 3]] * 3, up) == {2, 3, 4, 5, -1}

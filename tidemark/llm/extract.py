@@ -13,7 +13,7 @@ of all pages makes many bounded groups. In each block:
    of the template is shared if it stands on most pages that have its slot, and a slot recurs if on most of its
    pages all its texts stand on three pages or more; other slots vary.
 4. Pages with an article or main element: its text is main text, unless it stands inside an element whose name, class,
-   id or role hints at menus, headers, notices, adverts and the like.
+   id or role hints at menus, headers, notices, adverts and the like and is shared or in a slot that recurs.
    Pages without one: all text of the body that is not shared is main text. Under a hint, text of slots that
    recur goes too, and under an element named by nothing but hints all text does whose slot is not seen to vary.
    Menus, forms, scripts and comment blocks never are main text, nor footers and asides outside a main element.
@@ -285,7 +285,7 @@ class Template:
         if self.never[place] or inside and not self.inside[place]:
             return False
         if inside:
-            return not self.soft[place]
+            return not (self.soft[place] and (self.shared[text] or self.recurs[text]))
         if self.shared[text] or self.soft[place] and self.recurs[text]:
             return False
         return not self.strong[place] or self.varies[place]
