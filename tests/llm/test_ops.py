@@ -208,6 +208,16 @@ def test_repeats(spark, awkward, docs, empty):
     made = [(i, "".join(rng.choice(parts) for _ in range(6))) for i in range(40)] + [(99, "ab" * 200), (100, "ab" * 30), (101, "ba" * 40)]
     for hot in (5000, 1):
         assert rows_of(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"), hot=hot), *names) == brute.repeated_bytes(made)
+    # texts of several shards, whole copies of them, and rows that are repeated in full
+    long = "".join(rng.choice(parts) for _ in range(60))
+    made += [(200, long), (201, long), (202, "x" + long[500:]), (203, long[:900] + "tail" + long[901:]), (201, long), (204, long[:-49])]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in made], "doc_id long, text string, kept string, shard string")
+    want = brute.repeated_bytes(made)
+    for keep in (True, False):
+        out = repeats.remove_repeats(df, shard_bytes=300, keep=keep)
+        assert rows_of(out, *names) == want and out.count() == len(made)
+        assert ("kept" in out.columns) == keep
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in repeats.remove_repeats(df, shard_bytes=300).collect())
     assert repeats.remove_repeats(empty).count() == 0
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in repeats.remove_repeats(named_null(spark)).collect())
     assert got == [(-1, 0), (-1, len(BASE)), (3, 0), (3, 0)]
@@ -223,9 +233,9 @@ def test_merge_equals_one_sort():
         for i, s in zip(ids, strings, strict=True):
             for k in range(len(s) - 5):
                 seen[s[k : k + 6]] = min(seen.get(s[k : k + 6], 99), i)
-    for (ids, strings), found in zip(pieces, repeats.repeated_windows(pieces, 6), strict=True):
-        for i, s, x in zip(ids, strings, found, strict=True):
-            assert x.tolist() == [seen[s[k : k + 6]] < i for k in range(len(s) - 5)]
+    flat = [(ids, np.array([len(s) for s in strings]), np.frombuffer(b"".join(strings), np.uint8)) for ids, strings in pieces]
+    for (ids, strings), found in zip(pieces, repeats.repeated_windows(flat, 6), strict=True):
+        assert found.tolist() == [seen[s[k : k + 6]] < i for i, s in zip(ids, strings, strict=True) for k in range(len(s) - 5)]
 
 
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body class='has-sidebar'><nav><ul><li><a href=x>Menu</a></ul></nav><div class=ad>Buy</div><div id='cookie-notice'>Cookies</div><article><h1>Head &amp; more</h1><p>One <b>two<br>three</b>\n four<p>{0}<ul><li>x<li>y</ul><form><input>Send</form></article><div class=comments><p>Nice!</p></div><aside>Side</aside><footer>&copy; {1}</footer></body>"

@@ -3,7 +3,8 @@
 The suffixes that matter are those of repeated strings, and their order is found by merging Burrows-Wheeler
 transforms of shards, never by sorting all suffixes together:
 
-1. Texts are packed into shards of about 1 MB, written once as a table.
+1. Texts are packed into shards of about 1 MB, written once as a table. A longer text is cut into shards that overlap
+   by ``length`` - 1 bytes, and put together again at the end.
 2. In every ``length``-byte window the ``GRAM``-byte string with the least hash is its anchor (the rightmost, if
    several are equal). The windows of one anchor follow each other and make a segment. An anchor is chosen by the
    content of a window alone, so equal windows have equal anchors. Anchors are dealt by hash into buckets, with a
@@ -13,8 +14,8 @@ transforms of shards, never by sorting all suffixes together:
    anchor that agree with another in the bytes before or after it.
    Equal segments of a shard go there once. An anchor with more than ``hot`` different segments (a passage that very
    many documents surround differently) is cut into its windows, each dealt by its own content.
-4. Those come together in buckets with their bytes. The segments of one shard are a piece; each piece's transform is
-   made, and the transforms are merged by refining their interleave: in round h the rows stand in order of their first h
+4. Those come together in buckets with their bytes. The segments of neighbouring shards, about 64 kB, are a piece; each
+   piece's transform is made, and the transforms are merged by refining their interleave: in round h the rows stand in order of their first h
    bytes, and a stable distribution by transform byte gives the order by h + 1 bytes. A row boundary that appears in
    round h has a common prefix of h - 1 bytes, so after ``length`` rounds the rows between boundaries are the
    intervals of repeated strings. A window is repeated if the least doc_id of its interval is less than its own.
@@ -22,8 +23,10 @@ transforms of shards, never by sorting all suffixes together:
 
 Every table that is broadcast is counted first and joined by a shuffle beyond ``BROADCAST_BYTES``.
 
-Defined cases: null texts count as empty; texts shorter than ``length`` keep all; a null doc_id comes after all
-others; rows with equal doc_id are one document, so they do not repeat each other; an empty table gives no rows.
+Defined cases: null texts count as empty; texts shorter than ``length`` keep all; very long texts take the memory of
+their bytes a few times, and only where the result is put together; a null doc_id comes after all others; rows with
+equal doc_id are one document, so they do not repeat each other; further columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,21 +34,23 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, workers
+from tidemark.llm.common import discard, materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
 SHARD_BYTES = 1 << 20
-#: Most bytes of an Arrow batch in this session, from the first use of the operator.
-BATCH_BYTES = 8 << 20
-ANCHORS_PER_BUCKET = 1_000_000
-PIECE_BYTES = 1 << 20
+#: Most bytes of an Arrow batch while the operator runs.
+BATCH_BYTES = 2 << 20
+ANCHORS_PER_BUCKET = 250_000
+#: Bytes of strings that are ordered together, and of one of the pieces whose transforms are merged.
+BUCKET_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
 BROADCAST_BYTES = 64 << 20
 LAST = np.int64((1 << 63) - 1)
 _U = np.uint64
@@ -118,108 +123,138 @@ class Segments:
         return mixed((self.sums[first + size] - self.sums[first]) * self.back[first] + size.astype(_U))
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+#: Stands after each string of a piece; UTF-8 has no such byte.
+END = 255
+
+
+def joined(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The strings that follow each other in ``strings``, with END after each."""
+    text = np.full(len(strings) + len(sizes), END, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    text[inside] = strings
+    return text
+
+
+def transform(text: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order (by the first ``depth`` bytes at least) and transform of one piece, by prefix doubling.
 
-    ``text`` holds strings of byte + 1 with a 0 after each; a string is followed by itself.
+    ``text`` holds strings of ``sizes`` bytes with END after each; a string is followed by itself.
     """
     n = len(text)
-    stops = np.flatnonzero(text == 0)
-    begins = np.r_[0, stops[:-1] + 1]
-    own = np.repeat(np.arange(len(stops)), stops - begins + 1)
-    size, begin = (stops - begins + 1)[own], begins[own]
-    ahead = lambda k: begin + (np.arange(n) - begin + k) % size
-    rank, have = text.astype(np.int64), 1
-    while have < depth:
-        key = rank * (rank.max() + 1) + rank[ahead(have)]
-        order = np.argsort(key, kind="stable")
+    size = np.repeat(sizes + 1, sizes + 1)
+    begin = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    into = np.arange(n) - begin
+    ahead = lambda k: begin + (into + k) % size
+    key, have = text.astype(np.int64), 7
+    for k in range(1, have):  # seven letters fill 56 bits
+        key = key << 8 | text[ahead(k)]
+    while True:
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        if have >= depth:
+            break
+        key = rank * n + rank[ahead(have)]
         have *= 2
     order = np.argsort(rank, kind="stable")
-    before = begin + (np.arange(n) - begin - 1) % size
-    return order, text[before[order]]
+    return order, text[begin[order] + (into[order] - 1) % size[order]]
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the transforms' rows, as the piece of each row, and the interval (equal first ``depth``
-    bytes) of each row."""
-    piece = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(transforms) < 65536 else np.int64), [len(t) for t in transforms])
-    joined = np.concatenate(transforms)
-    rows = np.arange(len(piece))  # rows of ``joined`` in the present interleave
+    """Interleave of the transforms' rows, as rows of all transforms after one another, and the interval (equal
+    first ``depth`` bytes) of each row."""
+    kind = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 65536 else np.int64
+    piece = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
+    letters_of = np.concatenate(transforms)
+    rows = np.arange(len(piece), dtype=np.int32)  # what stands where in the present interleave
+    straight = rows.copy()
     interval = np.zeros(len(piece), np.int32)
+    new = np.empty(len(piece), bool)
     for _ in range(depth):
-        letters = joined[rows]
+        letters = letters_of[rows]
         order = np.argsort(letters, kind="stable")
         letters, came, piece = letters[order], interval[order], piece[order]
-        interval = np.cumsum(np.r_[0, (letters[1:] != letters[:-1]) | (came[1:] != came[:-1])], dtype=np.int32)
+        new[0] = False
+        np.not_equal(letters[1:], letters[:-1], out=new[1:])
+        new[1:] |= came[1:] != came[:-1]
+        before, interval = interval[-1], np.cumsum(new, dtype=np.int32)
         # rows of a piece keep their order, so the interleave alone tells which row stands where
-        rows[np.argsort(piece, kind="stable")] = np.arange(len(piece))
-        if interval[-1] == len(piece) - 1:
-            break
+        rows[np.argsort(piece, kind="stable")] = straight
+        if interval[-1] == before and before:
+            break  # strings that are equal now are equal for good
     return rows, interval
 
 
-def repeated_windows(pieces: list[tuple[np.ndarray, list[bytes]]], length: int) -> list[list[np.ndarray]]:
-    """For each segment (doc_id and bytes) of each piece, which of its windows an earlier document has."""
-    made, wheres = [], []
-    for _, strings in pieces:
-        text = np.zeros(sum(map(len, strings)) + len(strings), np.uint16)
-        at = 0
-        for s in strings:
-            text[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-            at += len(s) + 1
-        order, letters = transform(text, length)
-        sizes = np.array([len(s) + 1 for s in strings])
-        own = np.repeat(np.arange(len(strings)), sizes)
-        into = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def repeated_windows(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """Of each piece (doc_ids and sizes of its strings, and the strings one after another), which windows of its
+    strings an earlier document has."""
+    made, docs, whole, wheres = [], [], [], []
+    for ids, sizes, strings in pieces:
+        order, letters = transform(joined(strings, sizes), sizes, length)
+        rest = (np.repeat(np.cumsum(sizes + 1), sizes + 1) - np.arange(len(letters)))[order]  # bytes up to END, with it
         made.append(letters)
-        wheres.append((own[order], into[order], sizes))
+        docs.append(np.repeat(ids, sizes + 1)[order])
+        whole.append(rest > length)
+        wheres.append(order)
     rows, interval = merge(made, length)
-    docs = np.concatenate([ids[own] for (ids, _), (own, _, _) in zip(pieces, wheres, strict=True)])[rows]
-    whole = np.concatenate([into + length < sizes[own] for own, into, sizes in wheres])[rows]
-    docs = np.where(whole, docs, LAST)
+    all_docs, all_whole = np.concatenate(docs)[rows], np.concatenate(whole)[rows]
     starts = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-    least = np.minimum.reduceat(docs, starts)[np.cumsum(np.r_[0, interval[1:] != interval[:-1]])]
+    least = np.minimum.reduceat(np.where(all_whole, all_docs, LAST), starts)[interval]
     hit = np.empty(len(rows), bool)
-    hit[rows] = whole & (least < docs)
+    hit[rows] = all_whole & (least < all_docs)
     out, at = [], 0
-    for (_, strings), (own, into, sizes) in zip(pieces, wheres, strict=True):
-        flat = np.empty(len(own), bool)
-        flat[(np.cumsum(sizes) - sizes)[own] + into] = hit[at : at + len(own)]
-        at += len(own)
-        cuts = np.cumsum(sizes)
-        out.append([flat[e - z : e - length] for e, z in zip(cuts.tolist(), sizes.tolist(), strict=True)])
+    for order, own in zip(wheres, whole, strict=True):
+        flat, window = np.empty(len(order), bool), np.empty(len(order), bool)
+        flat[order], window[order] = hit[at : at + len(order)], own
+        out.append(flat[window])
+        at += len(order)
     return out
 
 
-def _shards(docs: DataFrame, text: str, doc_id: str, shard_bytes: int) -> DataFrame:
-    """(shard, ids, known, lengths, data): a row for about ``shard_bytes`` bytes of texts."""
+def _gathered(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the strings' bytes, string after string."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def run(batches):
-        ids, parts, size = [], [], 0
 
-        def row():
-            lengths = [len(p) for p in parts]
-            numbers = [i if i is not None else int(LAST) for i in ids]
-            shard = hashlib.blake2b(repr((numbers, lengths)).encode() + b"".join(parts), digest_size=16).hexdigest()
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([numbers], pa.list_(pa.int64())), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names=["shard", "ids", "known", "lengths", "data"])
+def _shards(docs: DataFrame, text: str, doc_id: str, shard_bytes: int, length: int) -> DataFrame:
+    """(shard, ids, known, lengths, data, long, at): a row for about ``shard_bytes`` bytes of texts.
+
+    A text of more bytes is cut into rows of its own: ``long`` names it, ``at`` is the place of the row's first byte, and
+    ``length`` - 1 bytes of the next row stand at the end of each, so that every window is in one row.
+    """
+    kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+    names = ["shard", "ids", "known", "lengths", "data", "long", "at"]
+
+    def row(ids: list, parts: list[bytes], long: bytes | None = None, at: int = 0) -> pa.RecordBatch:
+        lengths, data = [len(p) for p in parts], b"".join(parts)
+        numbers = [i if i is not None else int(LAST) for i in ids]
+        shard = hashlib.blake2b(repr((numbers, lengths, long, at)).encode() + data, digest_size=16).digest()
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, numbers, [i is not None for i in ids], lengths, data, long, at), kinds, strict=True)], names=names)
 
+    def run(batches):
+        ids, parts, size = [], [], 0
         for batch in batches:
             own, texts = batch.column(0), batch.column(1)
             for at in range(0, len(own), 256):
                 for i, t in zip(own.slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True):
+                    data = (t or "").encode("utf-8", "surrogatepass")
+                    if len(data) > shard_bytes:
+                        long = hashlib.blake2b(repr(i).encode() + data, digest_size=16).digest()
+                        for k in range(0, len(data), shard_bytes):
+                            yield row([i], [data[k : k + shard_bytes + length - 1]], long, k)
+                        continue
                     ids.append(i)
-                    parts.append((t or "").encode("utf-8", "surrogatepass"))
-                    size += len(parts[-1])
+                    parts.append(data)
+                    size += len(data)
                     if size >= shard_bytes:
-                        yield row()
+                        yield row(ids, parts)
                         ids, parts, size = [], [], 0
         if ids:
-            yield row()
+            yield row(ids, parts)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return workers(rows).mapInArrow(run, "shard string, ids array<bigint>, known array<boolean>, lengths array<bigint>, data binary")
+    return workers(rows).mapInArrow(run, "shard binary, ids array<bigint>, known array<boolean>, lengths array<bigint>, data binary, long binary, at bigint")
 
 
 def _open(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
@@ -236,9 +271,9 @@ def _deal(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _beside(shards: DataFrame, marks: DataFrame) -> DataFrame:
+def _beside(shards: DataFrame, marks: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``shards`` with the array ``marks`` of (bucket, blob); broadcast only if its bytes are few."""
-    grouped = materialize(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "blob")).alias("marks")))
+    grouped = step(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "blob")).alias("marks")))
     size = grouped.agg(F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + F.length(m["blob"]) + 64))).first()[0] or 0
     return shards.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "shard", "left")
 
@@ -304,13 +339,41 @@ def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of ``docs``."""
-    # a row of a shard has about 1 MB, and batches of rows stand in memory several times
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    shards = materialize(_shards(docs, text, doc_id, SHARD_BYTES))
-    total = shards.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / ((length - GRAM + 2) / 2) / ANCHORS_PER_BUCKET))
+def _digest(doc_id: int | None, data: np.ndarray, covered: np.ndarray, keep: bool) -> tuple:
+    left = data[~covered].tobytes()
+    spans = int((np.diff(np.r_[False, covered].astype(np.int8)) == 1).sum())
+    return doc_id, len(data), int(covered.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep else None
+
+
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
+
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000, keep: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``, and what is left as ``kept`` (binary) if
+    ``keep``. The result is a table in the shared folder."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, BATCH_BYTES)  # a row of a shard has about 1 MB, and batches of rows stand in memory several times
+    steps: list[DataFrame] = []
+    try:
+        out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, steps))
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+    for step in steps:
+        discard(step)
+    return out if keep else out.drop("kept")
+
+
+def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, keep: bool, shard_bytes: int, steps: list[DataFrame]) -> DataFrame:
+    def step(df: DataFrame) -> DataFrame:
+        steps.append(materialize(df))
+        return steps[-1]
+
+    shards = step(_shards(docs, text, doc_id, shard_bytes, length))
+    total, longs = shards.agg(F.sum(F.length("data")), F.count("long")).first()
+    buckets = max(1, math.ceil((total or 0) / ((length - GRAM + 2) / 2) / ANCHORS_PER_BUCKET))
 
     def anchors(batches):
         for batch in batches:
@@ -324,21 +387,20 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 for b in rows:
                     at = kept[order[cut[b] : cut[b + 1]]]
                     blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes() + own.beside[at].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
     def decide(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_py(), _U).reshape(4, -1) for b in group.column("blob")]
-        both = np.concatenate(blobs, axis=1)
+        blobs = [np.frombuffer(b.as_buffer(), _U).reshape(4, -1) for b in group.column("blob")]
+        both = [np.concatenate([b[k] for b in blobs]) for k in range(4)]
         verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), both[3], hot)
-        cuts = np.cumsum([b.shape[1] for b in blobs])[:-1]
-        parts = np.split(verdict, cuts)
+        parts = np.split(verdict, np.cumsum([b.shape[1] for b in blobs])[:-1])
         return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) + length * int((p == HOT).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
 
-    dealt = shards.select("shard", "ids", "lengths", "data").mapInArrow(anchors, "shard string, bucket bigint, blob binary")
-    verdicts = materialize(dealt.groupBy("bucket").applyInArrow(decide, "shard string, bucket bigint, blob binary, differ bigint"))
+    dealt = shards.select("shard", "ids", "lengths", "data").mapInArrow(anchors, "shard binary, bucket bigint, blob binary")
+    verdicts = step(dealt.groupBy("bucket").applyInArrow(decide, "shard binary, bucket bigint, blob binary, differ bigint"))
     differ = verdicts.agg(F.sum("differ")).first()[0] or 0
-    pieces = max(1, math.ceil(differ * (length + GRAM) / PIECE_BYTES))
-    marked = _beside(shards, verdicts.select("shard", "bucket", "blob"))
+    pieces = max(1, math.ceil(differ * (length + GRAM) / BUCKET_BYTES))
+    marked = _beside(shards, verdicts.select("shard", "bucket", "blob"), step)
 
     def units(batch, i, column, data, ids, own):
         """The verdicts and what is to be ordered: segments that differ and, of hot anchors, single windows, each
@@ -352,9 +414,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         later = doc > doc[kept][which] if len(kept) else np.zeros(0, bool)
         verdict = np.where(later, REPEATED, verdict[which]) if len(kept) else verdict
         at, hots = np.flatnonzero(verdict == DIFFERS), np.flatnonzero(verdict == HOT)
-        counts = own.count[hots]
-        starts = np.repeat(own.first[hots] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        of_doc = np.repeat(doc[hots], counts)
+        starts = _gathered(own.first[hots], own.count[hots])
+        of_doc = np.repeat(doc[hots], own.count[hots])
         keys = own.name_of(starts, np.full(len(starts), length)) if len(starts) else np.zeros(0, _U)
         single, of_single = firsts(of_doc, keys)
         unit = np.r_[own.first[at], starts[single]], np.r_[own.count[at], np.ones(len(single), np.int64)], np.r_[own.anchor[at], keys[single]], np.r_[doc[at], of_doc[single]]
@@ -369,25 +430,42 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 order, cut = _deal(key, pieces)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
                 rows = [b for b in range(pieces) if cut[b] < cut[b + 1]]
-                docs_, strings = [], []
+                blobs: list[list[bytes]] = [[], [], []]
                 for b in rows:
                     take = order[cut[b] : cut[b + 1]]
-                    docs_.append(doc[take].tolist())
-                    strings.append([data[f : f + c + length - 1].tobytes() for f, c in zip(first[take].tolist(), count[take].tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(docs_, pa.list_(pa.int64())), pa.array(strings, pa.list_(pa.binary()))], names=["shard", "bucket", "docs", "strings"])
+                    size = count[take] + length - 1
+                    for out, part in zip(blobs, (doc[take], size, data[_gathered(first[take], size)]), strict=True):
+                        out.append(part.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["shard", "bucket", "docs", "sizes", "strings"])
 
     def order_windows(group: pa.Table) -> pa.Table:
-        found = repeated_windows([(np.array(d.as_py(), np.int64), s.as_py()) for d, s in zip(group.column("docs"), group.column("strings"), strict=True)], length)
-        blobs = [zlib.compress(np.packbits(np.concatenate(f)).tobytes(), 1) for f in found]
+        """Strings of shards are joined to pieces of about PIECE_BYTES, in the order of the shards' names."""
+        shard = group.column("shard").to_pylist()
+        by = sorted(range(len(shard)), key=shard.__getitem__)
+        get = lambda name, k, kind: np.frombuffer(group.column(name)[k].as_buffer(), kind)
+        pieces, now, filled = [], [], 0
+        for k in by:
+            now.append(k)
+            filled += group.column("strings")[k].as_buffer().size
+            if filled >= PIECE_BYTES or k == by[-1]:
+                pieces.append(now)
+                now, filled = [], 0
+        found = repeated_windows([tuple(np.concatenate([get(name, k, kind) for k in own]) for name, kind in (("docs", np.int64), ("sizes", np.int64), ("strings", np.uint8))) for own in pieces], length)
+        blobs: list[bytes] = [b""] * len(shard)
+        for own, flags in zip(pieces, found, strict=True):
+            counts = [int((get("sizes", k, np.int64) - length + 1).sum()) for k in own]
+            for k, part in zip(own, np.split(flags, np.cumsum(counts)[:-1]), strict=True):
+                blobs[k] = zlib.compress(np.packbits(part).tobytes(), 1)
         return pa.table([group.column("shard"), group.column("bucket"), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
-    brought = marked.mapInArrow(bring, "shard string, bucket bigint, docs array<bigint>, strings array<binary>")
-    windows = brought.groupBy("bucket").applyInArrow(order_windows, "shard string, bucket bigint, blob binary")
-    final = _beside(marked.withColumnRenamed("marks", "verdicts"), materialize(windows))
+    brought = marked.select("shard", "ids", "lengths", "data", "marks").mapInArrow(bring, "shard binary, bucket bigint, docs binary, sizes binary, strings binary")
+    windows = brought.groupBy("bucket").applyInArrow(order_windows, "shard binary, bucket bigint, blob binary")
+    final = _beside(marked.withColumnRenamed("marks", "verdicts"), step(windows), step)
 
     def cut_texts(batches):
         for batch in batches:
             for i in range(len(batch)):
+                get = lambda c: batch.column(batch.schema.get_field_index(c))[i].as_py()  # noqa: B023, E731
                 data, lengths, ids, own = _open(batch, i, length)
                 verdict, (first, count, key, _), (starts, of_unit, behind) = units(batch, i, "verdicts", data, ids, own)
                 diff = np.zeros(len(data) + 1, np.int32)
@@ -400,21 +478,40 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 for b, blob in _marks_of(batch, i, "marks").items():
                     take = order[cut[b] : cut[b + 1]]
                     n = count[take]
-                    hit[np.repeat(place[take] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.unpackbits(np.frombuffer(blob, np.uint8))[: n.sum()].astype(bool)
+                    hit[_gathered(place[take], n)] = np.unpackbits(np.frombuffer(blob, np.uint8))[: n.sum()].astype(bool)
                 windows = np.repeat(first - place, count) + np.arange(len(hit))
                 found = np.r_[windows[hit], starts[behind | hit[place[of_unit]]]] if len(starts) else windows[hit]
                 np.add.at(diff, found, 1)
                 np.add.at(diff, found + length, -1)
                 covered = np.cumsum(diff[:-1]) > 0
-                known = batch.column(batch.schema.get_field_index("known"))[i].as_py()
-                out, end = [], 0
-                for k, n in enumerate(lengths.tolist()):
-                    own_cover, own_data = covered[end : end + n], data[end : end + n]
-                    end += n
-                    kept = own_data[~own_cover].tobytes()
-                    spans = int((np.diff(np.r_[False, own_cover].astype(np.int8)) == 1).sum())
-                    out.append((int(ids[k]) if known[k] else None, n, int(own_cover.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return final.mapInArrow(cut_texts, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+                known, long = get("known"), get("long")
+                if long is not None:
+                    rows = [(int(ids[0]) if known[0] else None, len(data), 0, 0, None, data.tobytes())]
+                    more = [long], [get("at")], [np.packbits(covered).tobytes()]
+                else:
+                    ends = np.cumsum(lengths)
+                    rows = [_digest(int(ids[k]) if known[k] else None, data[e - n : e], covered[e - n : e], keep) for k, (e, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True))]
+                    more = ([None] * len(rows),) * 3
+                columns = [pa.array(c, k) for c, k in zip([*zip(*rows, strict=True), *more], [*RESULT_KINDS, pa.binary(), pa.int64(), pa.binary()], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*RESULT_NAMES, "long", "at", "covered"])
+
+    def join_long(group: pa.Table) -> pa.Table:
+        """The rows of a long text, put together. Rows of equal texts with one doc_id are as many results."""
+        rows = sorted(group.select(["at", "doc_id", "kept", "covered"]).to_pylist(), key=lambda r: r["at"])
+        copies = sum(r["at"] == 0 for r in rows)
+        rows = rows[::copies]
+        data = np.zeros(rows[-1]["at"] + len(rows[-1]["kept"]), np.uint8)
+        covered = np.zeros(len(data), bool)
+        for r in rows:
+            n = len(r["kept"])
+            data[r["at"] : r["at"] + n] = np.frombuffer(r["kept"], np.uint8)
+            covered[r["at"] : r["at"] + n] |= np.unpackbits(np.frombuffer(r["covered"], np.uint8))[:n].astype(bool)
+        row = _digest(rows[0]["doc_id"], data, covered, keep)
+        return pa.table([pa.array([x] * copies, k) for x, k in zip(row, RESULT_KINDS, strict=True)], names=RESULT_NAMES)
+
+    out = final.mapInArrow(cut_texts, f"{RESULT}, long binary, at bigint, covered binary")
+    if not longs:
+        return out.drop("long", "at", "covered")
+    out = step(out)
+    whole = out.where("long is null").select(*RESULT_NAMES)
+    return whole.unionByName(out.where("long is not null").groupBy("long").applyInArrow(join_long, RESULT))
