@@ -15,9 +15,9 @@ transforms of shards, never by sorting all suffixes together:
    Equal segments of a shard go there once. An anchor with more than ``hot`` different segments (a passage that very
    many documents surround differently) is cut into its windows, each dealt by its own content.
 4. Those come together in buckets with their bytes. The segments of neighbouring shards, about 64 kB, are a piece; each
-   piece's transform is made, and the transforms are merged by refining their interleave: in round h the rows stand in order of their first h
-   bytes, and a stable distribution by transform byte gives the order by h + 1 bytes. A row boundary that appears in
-   round h has a common prefix of h - 1 bytes, so after ``length`` rounds the rows between boundaries are the
+   piece's transform is made, and the transforms are merged by refining their interleave: where the rows stand in order of their first h
+   bytes, a stable distribution by the two bytes before gives the order by h + 2 bytes. A row boundary that appears
+   then has a common prefix of h or h + 1 bytes, so at ``length`` bytes the rows between boundaries are the
    intervals of repeated strings. A window is repeated if the least doc_id of its interval is less than its own.
 5. Marks go back to the shards, which cover and cut the texts.
 
@@ -45,10 +45,10 @@ from tidemark.llm.common import discard, materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Most bytes of an Arrow batch while the operator runs.
 BATCH_BYTES = 2 << 20
-ANCHORS_PER_BUCKET = 250_000
+ANCHORS_PER_BUCKET = 500_000
 #: Bytes of strings that are ordered together, and of one of the pieces whose transforms are merged.
 BUCKET_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
 BROADCAST_BYTES = 64 << 20
@@ -137,7 +137,8 @@ def joined(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def transform(text: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order (by the first ``depth`` bytes at least) and transform of one piece, by prefix doubling.
+    """Suffix order (by the first ``depth`` bytes at least) and transform of one piece, by prefix doubling. A letter of
+    the transform is the pair of bytes before a suffix, so that the merge needs half the rounds.
 
     ``text`` holds strings of ``sizes`` bytes with END after each; a string is followed by itself.
     """
@@ -158,7 +159,8 @@ def transform(text: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarr
         key = rank * n + rank[ahead(have)]
         have *= 2
     order = np.argsort(rank, kind="stable")
-    return order, text[begin[order] + (into[order] - 1) % size[order]]
+    back = lambda k: text[begin[order] + (into[order] - k) % size[order]]
+    return order, back(2).astype(np.uint16) << 8 | back(1)
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +173,9 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     straight = rows.copy()
     interval = np.zeros(len(piece), np.int32)
     new = np.empty(len(piece), bool)
-    for _ in range(depth):
-        letters = letters_of[rows]
+    letters_of = letters_of.astype(np.uint16)
+    for last in [0xFF] * (depth % 2) + [0xFFFF] * (depth // 2):  # an odd depth takes one byte by itself
+        letters = letters_of[rows] & last
         order = np.argsort(letters, kind="stable")
         letters, came, piece = letters[order], interval[order], piece[order]
         new[0] = False
