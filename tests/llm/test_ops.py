@@ -1,6 +1,7 @@
 """Each operator against brute force on the small tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -98,11 +99,27 @@ def test_quality(spark, awkward, docs, empty):
     assert quality.judge(named_null(spark)).count() == 4
 
 
+def test_verdict_is_not_all_must_pass(spark):
+    sf = "/root/testdata/sf0.1"
+    rules = quality.votes()
+    rows = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").select("doc_id", "kept", *[v.alias(f"v_{n}") for n, v in rules.items()])
+    rows = {r["doc_id"]: r for r in rows.collect()}
+    labels = [(rows[r["doc_id"]], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in rows]
+    conflict = [(r["kept"], q) for r, q in labels if any(r[f"v_{n}"] < 0 for n in rules) and any(r[f"v_{n}"] > 0 for n in rules)]
+    assert sum(kept and q == 1 for kept, q in conflict) >= 20  # one bad vote, outweighed
+    assert sum(kept == (q == 1) for kept, q in conflict) >= 0.98 * len(conflict)
+    assert sum(r["kept"] == (q == 1) for r, q in labels) >= 0.998 * len(labels)
+
+
 def test_estimate_learns_accuracies():
-    # a rule that contradicts an accurate one on most of its votes is trusted less
-    weights = quality.estimate({(True, False, True): 10, (True, False, False): 90, (False, True, True): 60, (False, True, False): 5, (False, False, True): 500}, [-1, -1, 1])
-    assert weights[0] > weights[1]
-    assert quality.estimate({}, [-1, 1]) == pytest.approx([2.197, 2.197], abs=0.01)
+    # rules 0 and 1 find the same texts, rule 2 votes bad at random
+    patterns = {(-1, -1, 1): 90, (-1, -1, -1): 10, (1, 1, 1): 800, (1, 1, -1): 100}
+    start, weights = quality.estimate(patterns, 3)
+    assert weights[0][1] == pytest.approx(weights[1][1]) and weights[0][1] < 2 * weights[2][1] < 0
+    odds = lambda voted: start + sum(w[v < 0] for w, v in zip(weights, voted, strict=True) if v)
+    assert odds((1, 1, -1)) > 0 > odds((-1, -1, 1))
+    start, weights = quality.estimate({}, 2)
+    assert start == pytest.approx(math.log(4)) and weights[0] == pytest.approx((math.log(0.97 / 0.6), math.log(0.03 / 0.4)))
 
 
 def test_lines(spark, awkward, docs, empty):

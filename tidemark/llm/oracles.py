@@ -43,27 +43,31 @@ r AS (SELECT d.*, n.source_size, n.target, h.shard, h.shard_size, h.quota * 16 A
 f AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_ FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (words // greatest(shard_size, 1)) + greatest(0, least(words % greatest(shard_size, 1) - before_, size)) ELSE 0 END AS BIGINT) AS taken FROM f"""
 
+_SHARE = {"symbols": "n_symbols / greatest(n_words, 1)", "letters": "n_letters / greatest(word_chars, 1)", "length": "word_chars / greatest(n_words, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "duplicates": "n_dup_lines / greatest(n_lines, 1)", "distinct_": "n_distinct_words / greatest(n_words, 1)", "upper_": "n_upper / greatest(n_letters, 1)", "marks": "n_marks / greatest(n_words, 1)"}
+_MIDDLE = "n_words >= 15 AND n_words < 1000"
+#: Where each rule votes bad and good.
 RULES = {
-    "symbols": (-1, "n_symbols / greatest(n_words, 1) >= 0.12"),
-    "repeats": (-1, "n_repeat_words / greatest(n_words, 1) >= 0.2"),
-    "duplicate_lines": (-1, "n_dup_lines / greatest(n_lines, 1) >= 0.35"),
-    "shouting": (-1, "n_upper / greatest(n_letters, 1) >= 0.4"),
-    "exclamation": (-1, "n_marks / greatest(n_words, 1) >= 0.3"),
-    "few_distinct": (-1, "n_words >= 100 AND n_distinct_words / greatest(n_words, 1) < 0.1"),
-    "long_words": (-1, "word_chars / greatest(n_words, 1) >= 14"),
-    "prose": (1, "n_words >= 20 AND n_symbols / greatest(n_words, 1) <= 0.05 AND n_letters / greatest(word_chars, 1) >= 0.85 AND n_upper / greatest(n_letters, 1) <= 0.15 AND n_marks / greatest(n_words, 1) <= 0.1 AND n_repeat_words / greatest(n_words, 1) <= 0.1"),
+    "r_symbols": ("symbols >= 0.1", "symbols <= 0.01"),
+    "r_letters": ("n_words >= 20 AND letters < 0.88", "n_words >= 20 AND letters >= 0.94"),
+    "r_word_length": ("n_words >= 20 AND (length < 3.5 OR length >= 6.5)", "n_words >= 20 AND length >= 4 AND length < 6"),
+    "r_repetition": ("repeats >= 0.12 OR duplicates >= 0.25", "n_words >= 20 AND repeats <= 0.02 AND duplicates <= 0.05"),
+    "r_variety": (f"{_MIDDLE} AND distinct_ < 0.6", f"{_MIDDLE} AND distinct_ >= 0.7"),
+    "r_stutter": (f"{_MIDDLE} AND distinct_ < 0.45", f"{_MIDDLE} AND distinct_ >= 0.5"),
+    "r_shouting": ("n_words >= 20 AND upper_ >= 0.2", "n_words >= 20 AND upper_ <= 0.05 AND n_upper > 0"),
+    "r_exclamation": ("n_words >= 20 AND marks >= 0.2", "n_words >= 20 AND marks <= 0.05"),
 }
 
 
-def _quality(rounds: int = 50) -> str:
+def _quality(rounds: int = 30) -> str:
     """Statistics, counts of vote patterns, the rounds of expectation maximisation one after another, verdicts."""
-    odds = " + ".join(f"CASE WHEN {r} THEN {vote} * w_{r} ELSE 0 END" for r, (vote, _) in RULES.items())
-    steps = ["w0 AS MATERIALIZED (SELECT " + ", ".join(f"ln(0.9 / (1 - 0.9)) AS w_{r}" for r in RULES) + ")"]
+    odds = "ln(good_ / (1 - good_))" + "".join(f" + CASE {r} WHEN 1 THEN ln(p_{r} / (1 - f_{r})) WHEN -1 THEN ln((1 - p_{r}) / f_{r}) ELSE 0 END" for r in RULES)
+    steps = ["w0 AS MATERIALIZED (SELECT 0.8::DOUBLE AS good_, " + ", ".join(f"0.4::DOUBLE AS f_{r}, 0.97::DOUBLE AS p_{r}" for r in RULES) + ")"]
     for k in range(1, rounds + 1):
-        good = f"SELECT p.*, 1 / (1 + exp(-greatest(-500.0, least(500.0, {odds})))) AS good FROM p, w{k - 1}"
-        sums = ", ".join(f"coalesce(sum(CASE WHEN {r} THEN n * {'good' if vote > 0 else '(1 - good)'} END), 0) AS a_{r}, coalesce(sum(CASE WHEN {r} THEN n END), 0) AS t_{r}" for r, (vote, _) in RULES.items())
-        share = lambda r: f"((a_{r} + 0.9 * (0.25 * t_{r} + 1)) / (t_{r} + 0.25 * t_{r} + 1))"
-        steps.append(f"w{k} AS MATERIALIZED (SELECT " + ", ".join(f"ln({share(r)} / (1 - {share(r)})) AS w_{r}" for r in RULES) + f" FROM (SELECT {sums} FROM ({good})))")
+        each = f"SELECT p.*, n / (1 + exp(-greatest(-500.0, least(500.0, {odds})))) AS g FROM p, w{k - 1}"
+        total = lambda cond, of: f"coalesce(sum(CASE WHEN {cond} THEN {of} END), 0)"
+        found = lambda r: f"({total(f'{r} = -1', 'n - g')} + 0.4 * (0.1 * {total(f'{r} <> 0', 'n - g')} + 1)) / ({total(f'{r} <> 0', 'n - g')} + 0.1 * {total(f'{r} <> 0', 'n - g')} + 1)"
+        passed = lambda r: f"({total(f'{r} = 1', 'g')} + 0.97 * (0.1 * {total(f'{r} <> 0', 'g')} + 1)) / ({total(f'{r} <> 0', 'g')} + 0.1 * {total(f'{r} <> 0', 'g')} + 1)"
+        steps.append(f"w{k} AS MATERIALIZED (SELECT (coalesce(sum(g), 0) + 4.0) / (coalesce(sum(n), 0) + 5) AS good_, " + ", ".join(f"{found(r)} AS f_{r}, {passed(r)} AS p_{r}" for r in RULES) + f" FROM ({each}))")
     count = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS id FROM documents),
 s AS (SELECT *, regexp_extract_all(t, {WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS l FROM d),
@@ -72,7 +76,8 @@ c AS (SELECT id, x FROM g GROUP BY id, x HAVING count(*) > 1),
 e AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, unnest(range(i, i + 5)) AS at_ FROM g JOIN c USING (id, x)) GROUP BY id),
 v AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(e.n, 0) AS BIGINT) AS n_repeat_words,
   len(list_distinct(w)) AS n_distinct_words, {count('[!?]')} AS n_marks, {count(chr(92) + 'p{Lu}')} AS n_upper, {count(chr(92) + 'p{L}')} AS n_letters FROM s LEFT JOIN e ON s.id = e.id),
-b AS (SELECT *, {', '.join(f'({on}) AS {r}' for r, (_, on) in RULES.items())} FROM v),
+u AS (SELECT *, {', '.join(f'{x} AS {name}' for name, x in _SHARE.items())} FROM v),
+b AS (SELECT *, {', '.join(f'CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {r}' for r, (bad, good) in RULES.items())} FROM u),
 p AS MATERIALIZED (SELECT {', '.join(RULES)}, count(*) AS n FROM b GROUP BY ALL),
 {', '.join(steps)}
 SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {odds} >= 0 AS kept FROM b, w{rounds}"""
