@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
@@ -158,6 +159,38 @@ def test_classifier(spark, awkward, empty):
     assert classifier.score(named_null(spark), one).count() == 4
 
 
+def test_classifier_equals_plain_solution(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    sf, names, rng = "/root/testdata/sf0.01", list(classifier.features()), np.random.default_rng(7)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality.with_stats(docs.select("doc_id", "text")).withColumns(classifier.features()).select("doc_id", *names, F.expr(f"pmod(xxhash64({', '.join(names)}), {classifier.FOLDS})").alias("fold")).toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    x = rows[names].to_numpy()
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9), -6, 6)
+    slopes = rng.normal(0, 1, (len(names), classifier.COSINES)) / np.sqrt(len(names) / 2)
+    z = np.c_[np.sqrt(2 / classifier.COSINES) * np.cos(z @ slopes + rng.uniform(0, 2 * np.pi, classifier.COSINES)), np.ones(len(z))]
+    y = rows.doc_id.map(dict(zip(labels.doc_id, labels.quality, strict=True))).to_numpy(float)
+    import zlib
+
+    known = ~np.isnan(y) & np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in rows.doc_id])
+    fit = lambda m: np.linalg.lstsq(np.r_[z[m], np.sqrt(classifier.RIDGE * m.sum()) * np.eye(z.shape[1])], np.r_[y[m], np.zeros(z.shape[1])])[0]
+    fold = rows.fold.to_numpy()
+    place = np.zeros(len(z))
+    for f in range(classifier.FOLDS):
+        place[fold == f] = z[fold == f] @ fit(known & (fold != f))
+    bins = np.clip(np.floor((place + 0.5) / 2 * classifier.BINS), 0, classifier.BINS - 1)[known]
+    some = np.unique(bins)
+    n, s = np.array([(bins == b).sum() for b in some]), np.array([y[known][bins == b].sum() for b in some])
+    mean = np.array([max(min(s[a : c + 1].sum() / n[a : c + 1].sum() for c in range(i, len(some))) for a in range(i + 1)) for i in range(len(some))])
+    raw = z @ fit(known)
+    level = np.interp((raw + 0.5) / 2 * classifier.BINS, np.c_[some + 0.25, some + 0.75].ravel(), np.repeat(mean, 2))
+    want = np.clip((1 - 1e-4) * level + 1e-4 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -50, 50))), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality_classifier(spark, sf).collect()}
+    assert max(abs(got[i] - w) for i, w in zip(rows.doc_id, want, strict=True)) < 1e-3
+
+
 def test_pool():
     import numpy as np
 
@@ -168,7 +201,7 @@ def test_pool():
 def test_tokens(spark, awkward, docs, empty):
     import sentencepiece
 
-    path = queries.TOKENIZERS / "piece_bpe_32k.model"
+    path = Path(queries.tokenizer_path(queries.VOCABULARY))
     library = sentencepiece.SentencePieceProcessor(model_file=str(path))
     want = lambda pairs: {i: (len((t or "").encode()), len(library.encode(t or ""))) for i, t in pairs}
     assert rows_of(tokens.count_tokens(awkward, path.read_bytes()), "n_bytes", "n_tokens") == want(BOTH)
@@ -331,10 +364,41 @@ def test_contamination(spark, awkward, docs, empty):
     table = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert rows_of(queries.op9_decontaminate(spark, SF), *names) == brute.contamination(docs, table)
     assert decontaminate.find_contamination(empty, df).count() == 0
+    rng = random.Random(6)
+    phrase = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    texts, tests = [(i, phrase(rng.randrange(300))) for i in range(40)], [(i, phrase(rng.choice([1, 3, 5, 6, 9, 10, 11, 14, 40]))) for i in range(60)]
+    found = decontaminate.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    assert rows_of(found, *names) == brute.contamination(texts, tests)
+    twice = decontaminate.find_contamination(named_null(spark), spark.createDataFrame([(1, BASE)], "item_id long, text string"))
+    assert sorted((r["doc_id"] or -1, r["n_hit"]) for r in twice.collect()) == [(-1, 0), (-1, 60), (3, 60), (3, 60)]
     nothing = decontaminate.find_contamination(awkward, df.limit(0)).collect()
     assert {r["items_sha256"] for r in nothing} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_index_of_a_large_benchmark_stays_small():
+    """4 MB of items: what a worker builds takes less than 30 bytes a byte, so a block of 8 MB takes less than 250 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tidemark.llm import decontaminate as D
+rng = random.Random(1)
+words = [f"w{rng.randrange(10**7)}" for _ in range(60_000)]
+rows, size = [], 0
+while size < 4 << 20:
+    rows.append((str(len(rows)), " ".join(rng.choice(words) for _ in range(60))))
+    size += len(rows[-1][1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = D.Index(D.Items.of(rows), 10)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / size)
+text = D.folded_words("x " + rows[7][1] + " y")
+assert index.find(text)[2] == {"7"} and len(index.find(text)[0]) == 51
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    assert float(got.stdout.split()[-1]) < 30
+
+
 def test_chats(spark):
     def render(turns):
         return "".join(f"<|im_start|>{(r or '')}\n{(t or '').replace('<|', '< |')}<|im_end|>\n" for r, t in turns)

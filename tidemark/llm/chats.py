@@ -12,8 +12,8 @@ conversation that holds a third of all rows is never in one task as a whole.
 
 Defined cases: identical repeated rows count once; different rows with the same turn follow in order of role,
 then text; a null turn comes first; null role and text render as empty and differ from empty ones in hashes; rows with
-a null conv_id form one conversation; the opening of a marker inside a text is broken by a space; an empty
-table gives no rows; further columns are ignored.
+a null conv_id form one conversation; the opening of a marker inside a text is broken by a space; very long texts are
+rendered whole; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,9 +47,8 @@ def numbered(turns: DataFrame, block_turns: int) -> DataFrame:
     return at.withColumn("w1", F.bit_xor("x1").over(upto)).withColumn("w2", F.bit_xor("x2").over(upto))
 
 
-def maximal(turns: DataFrame, block_turns: int) -> DataFrame:
-    """conv_id of the conversations that stay."""
-    rows = materialize(numbered(turns, block_turns).select("conv_id", "block", "pos", "n", "x1", "x2", "w1", "w2"))
+def maximal(rows: DataFrame) -> DataFrame:
+    """conv_id of the conversations that stay, from numbered turns."""
     sums = rows.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("b1"), F.bit_xor("x2").alias("b2"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.bit_xor("b1").over(earlier), F.lit(0)).alias("s1"), F.coalesce(F.bit_xor("b2").over(earlier), F.lit(0)).alias("s2"))
@@ -66,8 +65,9 @@ def render(turns: DataFrame, *, block_turns: int = 256, part_turns: int = 256) -
     The parts of a conversation, in order and without anything between, are its text; all but the longest
     conversations have one.
     """
-    stay = materialize(maximal(turns, block_turns)).select(F.col("conv_id").alias("c"))
-    rows = numbered(turns, block_turns).join(stay, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    rows = materialize(numbered(turns, block_turns))
+    stay = maximal(rows).select(F.col("conv_id").alias("c"))
+    rows = rows.join(stay, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     safe = lambda name: F.replace(F.coalesce(name, F.lit("")), F.lit("<|"), F.lit("< |"))
     line = F.concat(F.lit(OPEN), safe("role"), F.lit("\n"), safe("text"), F.lit(CLOSE + "\n"))
     rows = rows.select("conv_id", "n", "pos", F.floor((F.col("pos") - 1) / part_turns).alias("part"), line.alias("line"))

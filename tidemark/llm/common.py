@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,28 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.folders import ship_package
+from tidemark.sources.folders import shared_folder, ship_package
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return the table.
 
     This cuts lineage: a lost executor costs a re-read, never a recomputation. Columns keep
     their names and types; a table that is only a step can be removed with ``discard``.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tidemark_path = path
@@ -41,11 +31,29 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._tidemark_path)
+    remove(table.sparkSession, table._tidemark_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Steps:
+    """Working tables of an operator whose result is a table of its own."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(materialize(df))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            discard(self.tables.pop())
+
+
 def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Hint a broadcast of an already materialized table if its counted rows are within the bound.
 

@@ -1,7 +1,7 @@
 """HTML extraction by equivalence-class template deduction.
 
-Pages of a host are dealt into blocks of about ``block_chars`` characters by a hash, so that a host with a third
-of all pages makes many bounded groups. In each block:
+Pages of a host are dealt into blocks of about ``block_chars`` characters and at most about ``block_pages`` pages by a
+hash of the row, so that a host or a page with a third of all rows makes many bounded groups. In each block:
 
 1. A page becomes tokens: tags with their path of open elements and texts with theirs (the roles). A text runs
    over inline elements to the next tag of a block. Pages with equal candidate text count once.
@@ -24,8 +24,9 @@ line. Text in a main element without a hint is never treated as template, even i
 and parts of articles may.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end with their parents; a null url is
-a host of its own; a page alone in its block is its own template; repeated rows give repeated results; columns of
-the input that clash with the added ones are replaced; an empty table gives no rows.
+a host of its own; a page alone in its block is its own template; rows that are repeated in full share a block and
+give repeated results; very long pages are read whole; columns of the input that clash with the added ones are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ NO_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "spons
 COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 COMMENT_PARTS = COMMENT_WORDS | {"area", "author", "block", "body", "box", "container", "content", "form", "item", "list", "post", "section", "thread", "user", "wrapper"}
 MAIN = {"article", "main"}
+# Characters of pages for a task; there are as many tasks as that takes, at least Spark's number of shuffle partitions.
+TASK_CHARS = 32 << 20
 # Pages that must hold a token before it is part of a template.
 SUPPORT = 3
 
@@ -307,13 +310,19 @@ def extract_block(sources: list[str | None]) -> list[str]:
     return [template.render(page) for page in pages]
 
 
-def extract(pages: DataFrame, *, page_html: str = "html", url: str = "url", block_chars: int = 1 << 20) -> DataFrame:
+def extract(pages: DataFrame, *, page_html: str = "html", url: str = "url", block_chars: int = 1 << 20, block_pages: int = 256) -> DataFrame:
     """``pages`` without ``html`` but with text and n_chars."""
     rows = without(pages, "text", "n_chars", "__host", "__block")
     rows = rows.withColumn("__host", F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    hosts = rows.groupBy(F.col("__host").alias("h")).agg(F.ceil(F.sum(F.coalesce(F.length(page_html), F.lit(0))) / block_chars).alias("n"))
-    hosts = small(materialize(hosts), 100_000)
-    rows = rows.join(hosts, F.col("__host") == F.col("h")).withColumn("__block", F.pmod(F.xxhash64(page_html, url), F.greatest(F.col("n"), F.lit(1)))).drop("h", "n")
+    chars = F.sum(F.coalesce(F.length(page_html), F.lit(0)))
+    hosts = rows.groupBy(F.col("__host").alias("h")).agg(chars.alias("chars"), F.greatest(F.ceil(chars / block_chars), F.ceil(F.count(F.lit(1)) / block_pages)).alias("n"))
+    hosts = materialize(hosts)
+    total = hosts.agg(F.sum("chars")).first()[0] or 0
+    # all columns decide the block, so copies of a page under other ids are spread
+    dealt = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "__host"])
+    rows = rows.join(small(hosts, 100_000), F.col("__host") == F.col("h")).withColumn("__block", F.pmod(dealt, F.greatest(F.col("n"), F.lit(1)))).drop("h", "chars", "n")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_CHARS))
+    rows = rows.repartition(tasks, "__host", "__block")
     keep = [c for c in rows.columns if c not in (page_html, "__host", "__block")]
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

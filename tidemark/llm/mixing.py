@@ -16,7 +16,7 @@ A shard is the only group that meets in one task. It is bounded by ``shard_words
 bucket is, so a source that holds a third of all rows is cut into many shards.
 
 Defined cases: null and empty texts have size 0 and are never taken; a source of size 0 has target 0; null is
-a source of its own; a null doc_id is ordered as -1; equal (doc_id, size) pairs are ordered by a hash of the
+a source of its own; very long texts count whole; a doc_id that is null or no number is ordered as -1; equal (doc_id, size) pairs are ordered by a hash of the
 text and, if they are equal in all, are interchangeable; columns of the input that clash with the added ones
 are replaced; an empty table gives no rows.
 """
@@ -35,7 +35,7 @@ BUCKETS = 16_384
 
 def _seeded(doc_id: Column, seed: int) -> Column:
     """A permutation-like 31-bit hash by integer steps that any SQL engine has."""
-    x = F.pmod(F.coalesce(doc_id.cast("long"), F.lit(-1)), F.lit(2147483647)) + F.lit(seed % 2147483647)
+    x = F.pmod(F.coalesce(doc_id.try_cast("long"), F.lit(-1)), F.lit(2147483647)) + F.lit(seed % 2147483647)
     for factor in (48271, 69621):
         x = F.pmod(x * F.lit(factor) + F.lit(12345), F.lit(2147483647))
         x = F.pmod(F.shiftright(x, 15).bitwiseXOR(x) * F.lit(16807), F.lit(2147483647))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import chats, classifier, decontaminate, extract, lines, mixing, quality, repeats, sketch, tokens
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 
-#: Vocabulary files of public tokenizers; a caller with another place sets this.
-TOKENIZERS = Path("/opt/tokenizers")
+#: The vocabulary of the token counts; a caller with another one sets this.
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = (TOKENIZERS / "piece_bpe_32k.model").read_bytes()
+    model = Path(tokenizer_path(VOCABULARY)).read_bytes()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, model).drop("text")
 

@@ -34,14 +34,13 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize, workers
+from tidemark.llm.common import Steps, materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
@@ -274,7 +273,7 @@ def _deal(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _beside(shards: DataFrame, marks: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _beside(shards: DataFrame, marks: DataFrame, step: Steps) -> DataFrame:
     """``shards`` with the array ``marks`` of (bucket, blob); broadcast only if its bytes are few."""
     grouped = step(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "blob")).alias("marks")))
     size = grouped.agg(F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + F.length(m["blob"]) + 64))).first()[0] or 0
@@ -359,21 +358,16 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(name, None)
     conf.set(name, BATCH_BYTES)  # a row of a shard has about 1 MB, and batches of rows stand in memory several times
-    steps: list[DataFrame] = []
+    step = Steps()
     try:
-        out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, steps))
+        out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, step))
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
-    for step in steps:
-        discard(step)
+    step.clear()
     return out if keep else out.drop("kept")
 
 
-def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, keep: bool, shard_bytes: int, steps: list[DataFrame]) -> DataFrame:
-    def step(df: DataFrame) -> DataFrame:
-        steps.append(materialize(df))
-        return steps[-1]
-
+def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, keep: bool, shard_bytes: int, step: Steps) -> DataFrame:
     shards = step(_shards(docs, text, doc_id, shard_bytes, length))
     total, longs = shards.agg(F.sum(F.length("data")), F.count("long")).first()
     buckets = max(1, math.ceil((total or 0) / ((length - GRAM + 2) / 2) / ANCHORS_PER_BUCKET))

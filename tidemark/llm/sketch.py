@@ -25,6 +25,7 @@ kept; columns of the input that clash with the added ones are replaced; an empty
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -40,6 +41,8 @@ REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.02, 2000
 #: Shingles of a block: 8 bytes each in memory.
 BLOCK_SHINGLES = 1 << 18
+#: Rounds of contraction, each of which removes a constant share of the nodes, before an error is raised.
+ROUNDS = 200
 #: Rows up to which a counted table of ids is broadcast.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -209,7 +212,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     became = None
-    for turn in range(200):
+    for turn in itertools.count():
+        if turn == ROUNDS:
+            raise RuntimeError(f"components are not found after {ROUNDS} rounds")
         rank = (lambda c: F.col(c)) if turn == 0 else (lambda c, turn=turn: F.xxhash64(F.lit(turn), F.col(c)))
         both = edges.select("a", "b").union(edges.select("b", "a"))
         best = F.least(F.struct(rank("a").alias("r"), F.col("a").alias("to")), F.struct(rank("b").alias("r"), F.col("b").alias("to")))
