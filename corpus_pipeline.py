@@ -1,60 +1,6 @@
-"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, mixing."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, mixing.
 
-from __future__ import annotations
+The stages and their defined cases are in ``tidemark.llm.pipeline``.
+"""
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import decontaminate, lines, mixing, oracles, quality, sketch
-from tidemark.llm.common import WORD, shared_dir, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier in the corpus go, and with them documents that have no word left; n_chars follows."""
-    out = lines.dedup_lines(docs).where(F.col("text").rlike(WORD))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return sketch.drop_near_duplicates(docs).select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with the number of words that it takes."""
-    return mixing.mix(docs).where("taken > 0")
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("minhash_dedup", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixture),
-]
-
-#: The same rows by SQL: every stage's query inside the next.
-ORACLE_SQL = oracles.pipeline()
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401

@@ -10,9 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local master gets a folder of its own for the
+    session; on a cluster that is an error, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def ship_package(spark: SparkSession) -> None:
