@@ -29,8 +29,8 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def dedup_lines(docs, min_words=8):
-    """[(doc_id, text)] to {(doc_id, text): new text}; doc_ids are unique here."""
+def dedup_lines(docs, units=8):
+    """[(doc_id, text)] to {doc_id: (lines, removed lines, new text)}; doc_ids are unique here."""
     first = {}
     for doc_id, text in sorted(docs, key=lambda d: d[0]):
         for no, line in enumerate((text or "").split("\n")):
@@ -38,14 +38,16 @@ def dedup_lines(docs, min_words=8):
                 first.setdefault(line, (doc_id, no))
     ordered = sorted(first, key=first.get)
     gone = set()
-    split = {x: x.split(" ") for x in ordered}
-    long = [x for x in ordered if len(split[x]) >= min_words]
-    by_size = defaultdict(list)
-    for x in long:
-        n = len(split[x])
-        if any(one_edit(split[x], split[y]) for m in (n - 1, n, n + 1) for y in by_size[m]):
+    by_words, by_chars = defaultdict(list), defaultdict(list)
+    for x in ordered:
+        words, chars = x.split(" "), list(x)
+        n, m = len(words), len(chars)
+        near = any(one_edit(words, y) for k in (n - 1, n, n + 1) for y in by_words[k] if max(k, n) >= units)
+        if near or n < units and any(one_edit(chars, y) for k in (m - 1, m, m + 1) for y in by_chars[k] if max(k, m) >= units):
             gone.add(x)
-        by_size[n].append(x)
+        by_words[n].append(words)
+        if n < units:
+            by_chars[m].append(chars)
     out = {}
     for doc_id, text in docs:
         if text is None:

@@ -133,7 +133,11 @@ def test_lines(spark, awkward, docs, empty):
         for _ in range(rng.randrange(3)):
             k = rng.randrange(len(words))
             words[k : k + 1] = rng.choice([[], ["new"], [words[k], "more"]])
-        made.append((i, "\n".join([" ".join(words), f"line {rng.randrange(5)}", ""])))
+        other = list(rng.choice(["chapter one", "日本語のテキスト", "exactly ", "seven77"]))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(other))
+            other[k : k + 1] = rng.choice(["", "ü", other[k] * 2, "\U0001f600"])
+        made.append((i, "\n".join([" ".join(words[: rng.choice([7, 20])]), f"line {rng.randrange(5)}", f"x{rng.randrange(9)}", "".join(other), ""])))
     df = spark.createDataFrame(made, "doc_id long, text string")
     assert rows_of(lines.dedup_lines(df), "n_lines", "n_removed", "text") == brute.dedup_lines(made)
     assert lines.dedup_lines(empty).count() == 0

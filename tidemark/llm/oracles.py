@@ -86,12 +86,11 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
 LINES = rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 r AS (SELECT *, regexp_matches(line, {WORD}) AS has FROM l),
 f AS (SELECT line, min((doc_id, no)) AS first, string_split(line, ' ') AS w FROM r WHERE has GROUP BY line),
-g AS (SELECT *, len(w) AS n, hash(line) AS id FROM f WHERE len(w) >= 8),
-e AS (SELECT id, line, first, n, n AS size, 0 AS kind, unnest(range(1, n + 1)) AS pos, w FROM g),
-v AS (SELECT id, line, first, n, pos, array_to_string(list_concat(w[:pos - 1], w[pos + 1:]), ' ') AS key FROM e),
-near AS (SELECT b.line FROM v a JOIN v b ON a.n = b.n AND a.pos = b.pos AND a.key = b.key WHERE a.first < b.first
-  UNION SELECT b.line FROM g a JOIN v b ON b.key = a.line WHERE a.first < b.first
-  UNION SELECT b.line FROM v a JOIN g b ON a.key = b.line WHERE a.first < b.first),
+o AS (SELECT line, first, 0 AS unit, w, len(w) AS n FROM f WHERE len(w) >= 7 UNION ALL SELECT line, first, 1, NULL, length(line) FROM f WHERE len(w) < 8 AND length(line) >= 7),
+v AS (SELECT line, first, unit, n, pos, CASE unit WHEN 0 THEN array_to_string(list_concat(w[:pos - 1], w[pos + 1:]), ' ') ELSE substring(line, 1, pos - 1) || substring(line, pos + 1) END AS key FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM o WHERE n >= 8)),
+near AS (SELECT b.line FROM v a JOIN v b ON a.unit = b.unit AND a.n = b.n AND a.pos = b.pos AND a.key = b.key WHERE a.first < b.first
+  UNION SELECT b.line FROM o a JOIN v b ON a.unit = b.unit AND a.n = b.n - 1 AND b.key = a.line WHERE a.first < b.first
+  UNION SELECT b.line FROM v a JOIN o b ON a.unit = b.unit AND b.n = a.n - 1 AND a.key = b.line WHERE a.first < b.first),
 k AS (SELECT r.*, NOT has OR ((doc_id, no) = f.first AND r.line NOT IN (SELECT line FROM near)) AS stays FROM r LEFT JOIN f ON r.line = f.line)
 SELECT d.doc_id, coalesce(CAST(sum(CAST(has AS BIGINT)) AS BIGINT), 0) AS n_lines, coalesce(CAST(sum(CAST(has AND NOT stays AS BIGINT)) AS BIGINT), 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(k.line, chr(10) ORDER BY no) FILTER (WHERE stays), '') END AS text
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text"""
