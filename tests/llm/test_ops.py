@@ -220,7 +220,7 @@ def test_tokens(spark, awkward, docs, empty):
     assert tokens.count_tokens(empty, path.read_bytes()).count() == 0
 
 
-def test_near(spark, awkward, docs, empty):
+def test_near(spark, awkward, docs, empty, monkeypatch):
     assert rows_of(sketch.find_groups(awkward, words=2), "n_shingles", "component_id") == brute.near_groups(BOTH)
     rng, made = random.Random(4), []
     for g in range(12):  # chains and stars of copies around the threshold
@@ -235,6 +235,13 @@ def test_near(spark, awkward, docs, empty):
     want = brute.near_groups(made)
     assert {i: x[:2] for i, x in got.items()} == want
     assert all(kept == (component == i) for i, (_, component, kept) in got.items())
+    # a cluster of several groups, cut into many blocks
+    words = [f"c{k}" for k in range(120)]
+    chained = [(i, " ".join([*words[: 120 - 3 * (i % 12)], *[f"z{i % 12}_{k}" for k in range(i % 12)], f"u{i % 5}"])) for i in range(60)] + [(100 + i, " ".join([*words, "tail", *[f"q{i}_{k}" for k in range(i)]])) for i in range(30)]
+    monkeypatch.setattr(sketch, "BLOCK_SHINGLES", 700)
+    for some in (made, chained):
+        got = rows_of(sketch.find_groups(spark.createDataFrame(some, "doc_id long, text string"), words=2), "n_shingles", "component_id")
+        assert got == brute.near_groups(some)
     assert sketch.find_groups(empty).count() == 0
     got = [tuple(r) for r in sketch.find_groups(named_null(spark), words=2).collect()]
     assert sorted(got, key=str) == sorted([(None, 59, None, True), (None, 0, None, True), (3, 59, 3, True), (3, 59, 3, True)], key=str)

@@ -8,18 +8,22 @@ their similarity. Then:
 
 1. Bands of registers that agree make candidates. Nodes that share band values, directly or through others, form
    a cluster; clusters come from star edges to the smallest member of each band value, so no pairs arise in Spark.
-2. A cluster is cut into blocks of about ``BLOCK_SHINGLES`` shingles. Each pair of blocks is a group of rows of its own, so no
-   task grows with a group of copies. In a group, pairs that agree in a band and are not yet connected are
-   looked at; the joint likelihood of the registers (how many are greater, smaller and equal, given both set sizes) drops
-   those that are certain to be too far apart.
-3. The rest are confirmed on the full sets, by integers: 100 * intersection >= similarity * union. A group puts out
-   the links of a spanning forest only.
+2. The joint likelihood of the registers (how many are greater, smaller and equal, given both set sizes) drops pairs that
+   are certain to be too far apart. The rest are confirmed on the full sets, by integers: 100 * intersection >=
+   similarity * union.
+3. Every node of a cluster is held against the cluster's smallest node, and what is not linked with it against the
+   smallest of what is left. So a group of copies of any size is settled row by row: its nodes are connected. What is
+   left is cut into blocks of about ``BLOCK_SHINGLES`` shingles, and so is what is connected. Pairs of blocks, but those that
+   are connected already, are groups of rows; in a group, pairs that agree in a band and are not yet connected are
+   looked at, and the links of a spanning forest come out.
 4. Confirmed links make components by contraction.
 
+The work on a cluster is its size times the number of blocks of nodes that its two groups of copies don't hold.
+
 A pair at similarity 0.8 agrees in none of the 48 bands of 6 registers with a probability below 1e-6.
 
 Defined cases: texts without words, empty and null ones have n_shingles 0 and are linked with nothing; rows with
-the same doc_id are one document; rows with a null doc_id are linked with nothing, have a null component and are
+the same doc_id are one document; very long texts make one set; rows with a null doc_id are linked with nothing, have a null component and are
 kept; columns of the input that clash with the added ones are replaced; an empty table gives no rows.
 """
 
@@ -34,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, materialize, small, texts_of, without
+from tidemark.llm.common import Steps, discard, map_batches, materialize, small, texts_of, workers
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.02, 2000
 #: Shingles of a block: 8 bytes each in memory.
 BLOCK_SHINGLES = 1 << 18
+#: Nodes of a cluster that the others are held against before blocks are compared.
+PIVOTS = 2
 #: Rounds of contraction, each of which removes a constant share of the nodes, before an error is raised.
 ROUNDS = 200
 #: Rows up to which a counted table of ids is broadcast.
@@ -154,7 +160,11 @@ def _links(group: pa.Table, similarity: int) -> pa.Table:
     starts = np.r_[0, np.cumsum(n.astype(np.int64))]
     flag = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     least = similarity / 100 - 7 * math.sqrt(similarity / 100 * (1 - similarity / 100) / REGISTERS)
+    label = group.column("label").to_numpy()
     root = np.arange(len(node))
+    for connected in range(PIVOTS):
+        if len(known := np.flatnonzero(label == connected)):
+            root[known] = known[0]
     others = np.arange(len(node)) if one else np.flatnonzero(~left)
     a_out, b_out = [], []
     for a in np.arange(len(node)) if one else np.flatnonzero(left):
@@ -179,10 +189,36 @@ def _links(group: pa.Table, similarity: int) -> pa.Table:
     return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float) -> DataFrame:
+def _against(rows: DataFrame, similarity: int) -> DataFrame:
+    """``rows`` with linked: whether a node is linked with the smallest node of its component's rows, or is that row."""
+    fields = ["n_shingles", "registers", "names", "h1"]
+    least = rows.groupBy("component").agg(F.min(F.struct("node", "h1")).alias("least")).select("component", "least.*")
+    pivots = rows.join(least, ["component", "node", "h1"]).select("component", F.col("node").alias("pivot"), *[F.col(f).alias(f"p_{f}") for f in fields])
+    floor = similarity / 100 - 7 * math.sqrt(similarity / 100 * (1 - similarity / 100) / REGISTERS)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            own, theirs = (get(c).to_numpy().astype(np.float64) for c in ("n_shingles", "p_n_shingles"))
+            regs, p_regs = (np.frombuffer(b"".join(x.as_py() for x in get(c)), np.int16).reshape(-1, REGISTERS) for c in ("registers", "p_registers"))
+            linked = (get("node").to_numpy() == get("pivot").to_numpy()) & (get("h1").to_numpy() == get("p_h1").to_numpy())
+            may = np.flatnonzero(~linked & (np.minimum(own, theirs) * 100 >= np.maximum(own, theirs) * similarity))
+            if len(may):
+                x, y = regs[may], p_regs[may]
+                estimate = joint_estimate(own[may], theirs[may], (x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1))
+                for k in may[estimate >= floor].tolist():
+                    a, b = (np.frombuffer(get(c)[k].as_buffer(), _U) for c in ("names", "p_names"))
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    linked[k] = 100 * both >= similarity * (len(a) + len(b) - both)
+            return [pa.array(linked)]
+
+        return work
+
+    return map_batches(rows.join(pivots, "component"), make, [T.StructField("linked", T.BooleanType())], [*rows.columns, "pivot"])
+
+
+def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, step: Steps) -> DataFrame:
     """Links (a, b) within clusters."""
-    known = materialize(clusters.join(nodes, "node"))
-    sums = known.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(small(clusters.select("node"), BROADCAST_ROWS), "node", "left_semi")
 
     def make():
@@ -193,24 +229,55 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str
 
         return work
 
+    limit = round(similarity * 100)
     fields = [T.StructField("names", T.BinaryType()), T.StructField("h1", T.LongType())]
     sets = map_batches(own, make, fields, ["node"]).dropDuplicates(["node", "h1"])
-    rows = known.join(sets, ["node", "h1"]).join(sums, "component")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = step(clusters.join(nodes, "node").join(sets, ["node", "h1"]))
+    columns, links, labelled = rows.columns, [], []
+    for label in range(PIVOTS):
+        held = step(_against(rows, limit))
+        links.append(held.where("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        labelled.append(held.where("linked").select(*columns, F.lit(label).alias("label")))
+        rows = held.where("not linked").select(*columns)
+    labelled.append(rows.withColumn("label", F.lit(PIVOTS)))
+    rows = labelled[0]
+    for part in labelled[1:]:
+        rows = rows.unionByName(part)
+
+    # blocks are numbered label by label; a block that is connected in itself meets those of other labels only
+    sums = rows.groupBy("component", "label").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n"))
+    counts = sums.groupBy("component").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(PIVOTS + 1)])
+    groups = sum((F.col(f"n{k}") > 0).cast("int") for k in range(PIVOTS))
+    counts = step(counts.where((F.col(f"n{PIVOTS}") > 0) | (groups > 1)))
+    begins, end = [], F.lit(0).cast("long")
+    for k in range(PIVOTS + 1):
+        begins.append(end)
+        end = end + F.col(f"n{k}")
+    span = lambda low, high: F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+    none = F.lit(None)
+    block, others = none, none
+    for k in range(PIVOTS + 1):
+        after = begins[k] + F.col(f"n{k}")
+        here = F.col("label") == k
+        block = F.when(here, begins[k] + F.pmod(F.xxhash64("node"), F.col(f"n{k}"))).otherwise(block)
+        others = F.when(here, span(F.lit(0).cast("long"), end) if k == PIVOTS else F.concat(span(F.lit(0).cast("long"), begins[k]), span(after, end))).otherwise(others)
+    rows = rows.join(small(counts, BROADCAST_ROWS), "component").withColumn("block", block).withColumn("other", F.explode(others))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": F.when(F.col("block") <= F.col("other"), 0).otherwise(1)})
-    limit = round(similarity * 100)
-    return materialize(rows.select("component", "i", "j", "side", "node", "n_shingles", "bands", "registers", "names").groupBy("component", "i", "j").applyInArrow(lambda group: _links(group, limit), "a bigint, b bigint"))
+    found = workers(rows.select("component", "i", "j", "side", "node", "label", "n_shingles", "bands", "registers", "names")).groupBy("component", "i", "j").applyInArrow(lambda group: _links(group, limit), "a bigint, b bigint")
+    found = step(found)
+    for part in links:
+        found = found.unionByName(part)
+    return found
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, step: Steps) -> DataFrame:
     """(node, component) of the nodes that have links: the smallest node that can be reached.
 
     In each round every node joins the neighbour of least priority (or stays), and the links are rewritten between
     what the nodes have become; equal links and loops fall away, so rounds shrink by a constant factor. The
     priority is the node itself at first, which settles stars at once, then a hash.
     """
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = step(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     became = None
     for turn in itertools.count():
         if turn == ROUNDS:
@@ -218,44 +285,49 @@ def components(links: DataFrame) -> DataFrame:
         rank = (lambda c: F.col(c)) if turn == 0 else (lambda c, turn=turn: F.xxhash64(F.lit(turn), F.col(c)))
         both = edges.select("a", "b").union(edges.select("b", "a"))
         best = F.least(F.struct(rank("a").alias("r"), F.col("a").alias("to")), F.struct(rank("b").alias("r"), F.col("b").alias("to")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(best).alias("best")).select("node", F.col("best.to").alias("to")))
+        joins = step(both.groupBy(F.col("a").alias("node")).agg(F.min(best).alias("best")).select("node", F.col("best.to").alias("to")))
         if turn == 0:
-            became = step
-        elif not step.limit(1).count():
+            became = joins
+        elif not joins.limit(1).count():
             break
         else:
-            moved = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            became = materialize(became.join(moved, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
-        end = lambda k: step.select(F.col("node").alias(k), F.col("to").alias(f"new_{k}"))
+            moved = joins.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            became = step(became.join(moved, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        end = lambda k: joins.select(F.col("node").alias(k), F.col("to").alias(f"new_{k}"))
         moved = edges.join(end("a"), "a").join(end("b"), "b").where("new_a <> new_b")
-        edges = materialize(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        edges = step(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
     least = became.groupBy("to").agg(F.min("node").alias("component"))
-    return materialize(became.join(least, "to").select("node", "component"))
+    return step(became.join(least, "to").select("node", "component"))
 
 
 def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    rows = materialize(_sketched(docs, text, doc_id, words))
-    classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, a table in the shared folder."""
+    step = Steps()
+    rows = step(_sketched(docs, text, doc_id, words))
+    classes = step(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     # a doc_id on rows with different texts is one document: its rows are linked by their common node
     nodes = rows.withColumnRenamed("doc_id", "node").join(small(classes, BROADCAST_ROWS), ["node", "h1", "h2"], "left_semi")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("band", "a"))
+    shared = step(members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("band", "a"))
     stars = members.join(small(shared, BROADCAST_ROWS), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    clusters = components(stars)
-    links = _confirmed(clusters, nodes, docs, text, doc_id, words, similarity)
+    clusters = components(stars, step)
+    links = _confirmed(clusters, nodes, docs, text, doc_id, words, similarity, step)
     same_id = rows.where("n_shingles > 0").join(classes, ["h1", "h2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     same_id = same_id.join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct()
-    found = components(links.union(same_id))
+    found = components(links.union(same_id), step)
 
     named = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")))
+    step.clear()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` less the documents that are not the first of their component."""
-    gone = materialize(find_groups(docs, text=text, doc_id=doc_id, words=words, similarity=similarity).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    groups = find_groups(docs, text=text, doc_id=doc_id, words=words, similarity=similarity)
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    discard(groups)
     return docs.join(small(gone, BROADCAST_ROWS), docs[doc_id] == F.col("__gone"), "left_anti")
