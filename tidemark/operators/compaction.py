@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import VALUE, latest
+from tidemark.sources.folders import written
 
 TRIGGER = 4
 
@@ -30,13 +31,14 @@ def compact_range(log: DataFrame, begin: str, end: str) -> DataFrame:
     return compact(log.where(inside)).unionByName(log.where(~inside))
 
 
-def ranked(rows: DataFrame, prefix: int = 2) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     """``rows`` with rank0, the place of k among all keys, and total.
 
-    Keys are counted by their first characters; the running sums over those few counts shift the ranks that are
-    made within each prefix, so that no task sorts all keys.
+    Keys are dealt by bounds that Spark samples, so parts are of like size whatever the keys have in common. The parts are
+    written once, as another sample would deal them otherwise; the running sums over their counts, a number for each
+    part, shift the ranks that are made within each part, so that no task sorts all keys.
     """
-    keyed = rows.withColumn("p", F.substring("k", 1, prefix))
+    keyed = written(rows.repartitionByRange("k").withColumn("p", F.spark_partition_id()))
     counts = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
     earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("shift"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
@@ -64,7 +66,7 @@ def overlapping(bounds: DataFrame) -> DataFrame:
     """run_a < run_b: pairs of runs whose key ranges meet. Bounds are a manifest, a row for each run."""
     a = bounds.select(F.col("run").alias("run_a"), F.col("first_key").alias("fa"), F.col("last_key").alias("la"))
     b = bounds.select(F.col("run").alias("run_b"), F.col("first_key").alias("fb"), F.col("last_key").alias("lb"))
-    return a.join(F.broadcast(b), (F.col("run_a") < F.col("run_b")) & (F.col("la") >= F.col("fb")) & (F.col("lb") >= F.col("fa"))).select("run_a", "run_b")
+    return a.join(b, (F.col("run_a") < F.col("run_b")) & (F.col("la") >= F.col("fb")) & (F.col("lb") >= F.col("fa"))).select("run_a", "run_b")
 
 
 def after_compaction(manifest: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

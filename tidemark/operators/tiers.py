@@ -102,6 +102,12 @@ def restart_points(runs: DataFrame) -> DataFrame:
 
 
 def candidates(keys: DataFrame, bounds: DataFrame) -> DataFrame:
-    """k and run: runs whose key range holds k. Bounds are a manifest, a few rows for each run."""
+    """k and run: runs whose key range holds k. Bounds are a manifest.
+
+    A range stands under each first byte that its keys may have, 256 at most, so keys and ranges meet in an equi-join; Spark
+    broadcasts the bounds where it knows them to be small.
+    """
+    byte = lambda c: F.coalesce(F.conv(F.substring(F.hex(F.col(c).cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(-1))
+    spread = bounds.withColumn("byte", F.explode(F.sequence(byte("first_key"), byte("last_key"))))
     hit = (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key"))
-    return keys.join(F.broadcast(bounds), hit).select("k", "run")
+    return keys.withColumn("byte", byte("k")).join(spread, "byte").where(hit).select("k", "run")

@@ -16,6 +16,8 @@ from tidemark.streaming.ingest import ingest
 # Parameters of the registered queries.
 TARGET, BEGIN, END, PREFIX, SCAN = "50", "2", "5", "1", 25
 BUFFER_BYTES, N_RUNS, N_FILES, SNAPSHOT_SHARE = 16_384, 10, 4, 2
+#: Writes of a memory table in the queries over runs of a fixed size, and of a part of a running sum.
+RUN_ROWS, PART_ROWS = 1_000, 1 << 20
 
 
 def to_log(events: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requested(log: DataFrame) -> DataFrame:
-    """Every third key and as many keys that were never written."""
-    keys = log.select("k").distinct().where(F.col("k").cast("long") % 3 == 0)
+    """Every key and as many keys that were never written."""
+    keys = log.select("k").distinct()
     return keys.union(keys.select(F.concat("k", F.lit("x"))))
 
 
@@ -128,7 +130,9 @@ def kv_recover(spark, sf_dir):
 
 
 def kv_wal_replay(spark, sf_dir):
-    return replay_prefix(_log(spark, sf_dir), F.col("seq") % 997 == 996).select("k", "seq", "typ")
+    """The log is damaged at nine tenths of its length."""
+    bad = _events(spark, sf_dir).count() * 9 // 10
+    return replay_prefix(_log(spark, sf_dir), F.col("seq") >= bad).select("k", "seq", "typ")
 
 
 def kv_wal_encode_len(spark, sf_dir):
@@ -136,7 +140,7 @@ def kv_wal_encode_len(spark, sf_dir):
 
 
 def kv_memtable_rotation(spark, sf_dir):
-    return tiers.rotation(_log(spark, sf_dir), BUFFER_BYTES, _batch(spark, sf_dir))
+    return tiers.rotation(_log(spark, sf_dir), BUFFER_BYTES, PART_ROWS)
 
 
 def kv_memtable_scan(spark, sf_dir):
@@ -161,11 +165,11 @@ def kv_manifest(spark, sf_dir):
 
 
 def kv_block_index(spark, sf_dir):
-    return tiers.block_index(_tiers(spark, sf_dir))
+    return tiers.block_index(tiers.with_run(_log(spark, sf_dir), RUN_ROWS))
 
 
 def kv_restart_points(spark, sf_dir):
-    return tiers.restart_points(_tiers(spark, sf_dir))
+    return tiers.restart_points(tiers.with_run(_log(spark, sf_dir), RUN_ROWS))
 
 
 def kv_read_tier(spark, sf_dir):
@@ -250,13 +254,14 @@ def kv_bloom_build(spark, sf_dir):
 
 def kv_bloom_probe(spark, sf_dir):
     rows = _tiers(spark, sf_dir)
-    return bloom.probe(_requested(rows), rows.where("run < 3"))
+    return bloom.probe(_requested(rows), rows)
 
 
 def kv_bloom_fpr(spark, sf_dir):
-    rows = _tiers(spark, sf_dir)
-    absent = rows.where("seq % 5 = 0").select(F.concat(F.lit("absent_"), F.col("seq").cast("string")).alias("k"))
-    return bloom.false_positives(absent, rows.where("run < 3"))
+    """Runs of distinct keys, each order being one, so that filters are as full as they get; every key's absent twin is asked."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keys = orders.select(F.col("o_orderkey").cast("string").alias("k"), (F.col("o_orderkey") % N_RUNS).cast("long").alias("run"))
+    return bloom.false_positives(keys.select(F.concat(F.lit("absent_"), "k").alias("k")), keys)
 
 
 def kv_record_crc(spark, sf_dir):
@@ -294,7 +299,7 @@ keys AS (SELECT DISTINCT k FROM log),
 size AS (SELECT greatest(1, CAST((count(*) + 9) // 10 AS BIGINT)) AS batch FROM log),
 runs AS (SELECT log.*, CAST(seq // batch AS BIGINT) AS run FROM log, size),
 tiers AS (SELECT *, CASE WHEN 9 - run = 0 THEN -2 WHEN 9 - run = 1 THEN -1 WHEN 9 - run <= 5 THEN 0 ELSE 1 END AS level FROM runs),
-wanted AS (SELECT k FROM keys WHERE CAST(k AS BIGINT) % 3 = 0 UNION ALL SELECT k || 'x' FROM keys WHERE CAST(k AS BIGINT) % 3 = 0),
+wanted AS (SELECT k FROM keys UNION ALL SELECT k || 'x' FROM keys),
 manifest AS (SELECT level, run, min(k) AS first_key, max(k) AS last_key FROM tiers WHERE level >= 0 GROUP BY level, run),
 bottom AS (SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM tiers WHERE level = 1) WHERE rn = 1 AND typ = 1),
 files AS (SELECT CAST(file AS BIGINT) AS file, min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM (SELECT k, ntile(4) OVER (ORDER BY k) - 1 AS file FROM bottom) GROUP BY file)
@@ -304,13 +309,14 @@ KLEN, VLEN = "(strlen(k) + 8)", "coalesce(strlen(v), 0)"
 ENTRY = f"1 + {VARINT.format(KLEN)} + {KLEN} + {VARINT.format(VLEN)} + {VLEN}"
 PAYLOAD = f"{KLEN} + {VLEN}"
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substring(k, CAST(i AS BIGINT), 1)) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substring(k, CAST(i AS BIGINT), 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, s: xor(x >> 1, 3988292384 * (x & 1))))"
 BIT = "(((h + i * ((h // 131072) + (h % 131072) * 32768)) & 4294967295) % bits)"
 BLOOM = f""", hashed AS (SELECT k, {FNV} AS h FROM keys), six AS (SELECT unnest(range(0, 6)) AS i),
 bits AS (SELECT run, CAST((greatest(count(*) * 10, 64) + 7) // 8 * 8 AS BIGINT) AS bits FROM tiers GROUP BY run),
 built AS (SELECT DISTINCT run, CAST({BIT} AS BIGINT) AS bit FROM (SELECT DISTINCT run, k FROM tiers) JOIN hashed USING (k) JOIN bits USING (run), six)
 """
 PROBE = f""", asked AS (SELECT DISTINCT k FROM {{0}}), ahash AS (SELECT k, {FNV} AS h FROM asked),
-each AS (SELECT DISTINCT k, run, CAST({BIT} AS BIGINT) AS bit FROM ahash, bits, six WHERE run < 3),
+each AS (SELECT DISTINCT k, run, CAST({BIT} AS BIGINT) AS bit FROM ahash, bits, six),
 probed AS (SELECT each.k, each.run, bool_and(built.bit IS NOT NULL) AS maybe FROM each LEFT JOIN built ON each.run = built.run AND each.bit = built.bit GROUP BY each.k, each.run)
 """
 
@@ -331,7 +337,7 @@ ORACLES = {
     "kv_empty_value_is_delete": LOG + "SELECT k, CASE WHEN coalesce(length(v), 0) = 0 THEN 0 ELSE 1 END AS typ FROM latest",
     "kv_apply_log": LOG + "SELECT k, seq, typ FROM log",
     "kv_recover": LOG + "SELECT k, seq, v FROM live",
-    "kv_wal_replay": LOG + "SELECT k, seq, typ FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE seq % 997 = 996), 9223372036854775807)",
+    "kv_wal_replay": LOG + "SELECT k, seq, typ FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE seq >= (SELECT count(*) * 9 // 10 FROM log)), 9223372036854775807)",
     "kv_wal_encode_len": LOG + f"SELECT seq, CAST({ENTRY} + 4 AS BIGINT) AS n_bytes FROM log",
     "kv_memtable_rotation": LOG + f"SELECT seq, CAST(coalesce(sum({PAYLOAD}) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BUFFER_BYTES} AS BIGINT) AS mem_id FROM log",
     "kv_memtable_scan": LOG + "SELECT k, seq, v FROM tiers WHERE level = -2",
@@ -339,12 +345,12 @@ ORACLES = {
     "kv_flush_run_stats": LOG + f"SELECT run, min(k) AS first_key, max(k) AS last_key, count(*) AS n, CAST(sum(CASE WHEN typ = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tombstones, CAST(sum({PAYLOAD}) AS BIGINT) AS bytes FROM tiers GROUP BY run",
     "kv_run_metadata": LOG + "SELECT level, run, min(k) AS first_key, max(k) AS last_key, min(seq) AS first_seq, max(seq) AS last_seq FROM tiers GROUP BY level, run",
     "kv_manifest": LOG + "SELECT level, run, first_key, last_key FROM manifest",
-    "kv_block_index": LOG.replace("WITH", "WITH RECURSIVE", 1) + f""", entries AS (SELECT run, k, {ENTRY} AS size, row_number() OVER (PARTITION BY run ORDER BY k, seq DESC) AS rn FROM tiers),
+    "kv_block_index": LOG.replace("WITH", "WITH RECURSIVE", 1) + f""", entries AS (SELECT run, k, {ENTRY} AS size, row_number() OVER (PARTITION BY run ORDER BY k, seq DESC) AS rn FROM (SELECT *, seq // {RUN_ROWS} AS run FROM log)),
 packed AS (SELECT run, k, rn, CAST(0 AS BIGINT) AS block_no, CAST(size AS BIGINT) AS filled FROM entries WHERE rn = 1
   UNION ALL SELECT e.run, e.k, e.rn, CASE WHEN p.filled + e.size > 4096 THEN p.block_no + 1 ELSE p.block_no END, CASE WHEN p.filled + e.size > 4096 THEN CAST(e.size AS BIGINT) ELSE CAST(p.filled + e.size AS BIGINT) END
   FROM packed p JOIN entries e ON e.run = p.run AND e.rn = p.rn + 1)
 SELECT run, block_no, count(*) AS n, max(k) AS last_key FROM packed GROUP BY run, block_no""",
-    "kv_restart_points": LOG + "SELECT run, seq, pos FROM (SELECT run, seq, CAST(row_number() OVER (PARTITION BY run ORDER BY k, seq DESC) - 1 AS BIGINT) AS pos FROM tiers) WHERE pos % 16 = 0",
+    "kv_restart_points": LOG + f"SELECT run, seq, pos FROM (SELECT run, seq, CAST(row_number() OVER (PARTITION BY run ORDER BY k, seq DESC) - 1 AS BIGINT) AS pos FROM (SELECT *, seq // {RUN_ROWS} AS run FROM log)) WHERE pos % 16 = 0",
     "kv_read_tier": LOG + "SELECT k, level AS tier FROM (SELECT k, level, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM tiers) WHERE rn = 1",
     "kv_run_candidates": LOG + "SELECT k, run FROM keys JOIN manifest ON k >= first_key AND k <= last_key",
     "kv_l1_locate": LOG + "SELECT k, file AS run FROM keys JOIN files ON k >= first_key AND k <= last_key",
@@ -362,7 +368,8 @@ SELECT run, block_no, count(*) AS n, max(k) AS last_key FROM packed GROUP BY run
     "kv_bloom_positions": LOG + BLOOM + f"SELECT k, CAST(i AS BIGINT) AS i, CAST({BIT} AS BIGINT) AS bit FROM (SELECT k, h, 1024 AS bits FROM hashed), six",
     "kv_bloom_build": LOG + BLOOM + "SELECT run, bit FROM built",
     "kv_bloom_probe": LOG + BLOOM + PROBE.format("wanted") + "SELECT k, run, maybe FROM probed",
-    "kv_bloom_fpr": LOG + BLOOM + PROBE.format("(SELECT 'absent_' || CAST(seq AS VARCHAR) AS k FROM log WHERE seq % 5 = 0)") + "SELECT run, count(*) AS probes, CAST(sum(CAST(maybe AS BIGINT)) AS BIGINT) AS hits FROM probed GROUP BY run",
+    "kv_bloom_fpr": "WITH tiers AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_orderkey % 10 AS BIGINT) AS run FROM orders), keys AS (SELECT DISTINCT k FROM tiers)" + BLOOM + PROBE.format("(SELECT 'absent_' || k AS k FROM keys)") + "SELECT run, count(*) AS probes, CAST(sum(CAST(maybe AS BIGINT)) AS BIGINT) AS hits FROM probed GROUP BY run",
+    "kv_record_crc": LOG + f"SELECT k, CAST(xor({CRC}, 4294967295) AS BIGINT) AS crc FROM keys",
     "kv_as_of": LOG + ", o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT batch * 10 // 2 FROM size)) SELECT k, seq, v FROM o WHERE rn = 1 AND typ = 1",
     "kv_rollup": LOG + f"SELECT level, run, count(*) AS n, CAST(sum({PAYLOAD}) AS BIGINT) AS bytes FROM tiers GROUP BY ROLLUP (level, run)",
     "kv_stream_ingest": LOG + "SELECT k, seq, v FROM live",
