@@ -267,15 +267,15 @@ def test_repeats(spark, awkward, docs, empty):
     rng = random.Random(8)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.randrange(20, 90))) for _ in range(12)]
     made = [(i, "".join(rng.choice(parts) for _ in range(6))) for i in range(40)] + [(99, "ab" * 200), (100, "ab" * 30), (101, "ba" * 40)]
-    for hot in (5000, 1):
-        assert rows_of(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"), hot=hot), *names) == brute.repeated_bytes(made)
+    for hot, collapse in ((5000, True), (1, True), (5000, False), (1, False)):
+        assert rows_of(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"), hot=hot, collapse=collapse), *names) == brute.repeated_bytes(made)
     # texts of several shards, whole copies of them, and rows that are repeated in full
     long = "".join(rng.choice(parts) for _ in range(60))
     made += [(200, long), (201, long), (202, "x" + long[500:]), (203, long[:900] + "tail" + long[901:]), (201, long), (204, long[:-49])]
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in made], "doc_id long, text string, kept string, shard string")
     want = brute.repeated_bytes(made)
-    for keep in (True, False):
-        out = repeats.remove_repeats(df, shard_bytes=300, keep=keep)
+    for keep, collapse in ((True, True), (False, True), (False, False)):
+        out = repeats.remove_repeats(df, shard_bytes=300, keep=keep, collapse=collapse)
         assert rows_of(out, *names) == want and out.count() == len(made)
         assert ("kept" in out.columns) == keep
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in repeats.remove_repeats(df, shard_bytes=300).collect())

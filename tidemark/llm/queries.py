@@ -48,7 +48,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats.remove_repeats(docs, keep=False)
+    return repeats.remove_repeats(docs, keep=False, collapse=False)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

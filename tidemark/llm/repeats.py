@@ -303,9 +303,10 @@ def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
 NONE, REPEATED, DIFFERS, HOT = 0, 1, 2, 3
 
 
-def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside: np.ndarray, hot: int) -> np.ndarray:
+def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside: np.ndarray, hot: int, collapse: bool = True) -> np.ndarray:
     """Of each segment in a bucket: NONE of its windows repeat, all are REPEATED, or it DIFFERS from others (HOT if
-    more than ``hot`` segments differ at one anchor).
+    more than ``hot`` segments differ at one anchor). Without ``collapse`` no segment is called REPEATED: copies of one
+    content are left to be ordered like segments that differ.
 
     A window that holds an anchor of GRAM bytes holds half of the other bytes before or after it, so segments of one
     anchor can share a window only if they agree in one of the two.
@@ -320,8 +321,9 @@ def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside:
     a, s, d = anchor[order], name[order], doc[order]
     new_s = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
     first_s = d[np.flatnonzero(new_s)][np.cumsum(new_s) - 1]
-    out[order] = np.where(d > first_s, REPEATED, NONE)
-    one = order[new_s]  # the first copy of each segment
+    if collapse:
+        out[order] = np.where(d > first_s, REPEATED, NONE)
+    one = order[new_s] if collapse else order  # the first copy of each segment
     differs = np.zeros(len(one), bool)
     for side in (beside[one] >> _U(32), beside[one] & _U(0xFFFFFFFF)):
         by = np.lexsort((side, anchor[one]))
@@ -331,10 +333,13 @@ def judge_anchors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, beside:
     left = one[differs]  # in order of their anchors
     if len(left):
         new = np.r_[True, anchor[left][1:] != anchor[left][:-1]]
-        many = np.diff(np.r_[np.flatnonzero(new), len(left)])[np.cumsum(new) - 1]
+        content = new | np.r_[True, name[left][1:] != name[left][:-1]]
+        many = np.add.reduceat(content, np.flatnonzero(new), dtype=np.int64)[np.cumsum(new) - 1]
         equal = np.where(many > hot, HOT, DIFFERS).astype(np.uint8)
         verdict = np.zeros(len(anchor), np.uint8)
         verdict[left] = equal
+        if not collapse:
+            return verdict
         # copies in the same document as the first fare like it
         of_first = verdict[one][np.cumsum(new_s) - 1]
         out[order] = np.where(d > first_s, REPEATED, of_first)
@@ -352,22 +357,23 @@ RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.
 RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000, keep: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 50, hot: int = 5000, keep: bool = True, shard_bytes: int = SHARD_BYTES, collapse: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``, and what is left as ``kept`` (binary) if
-    ``keep``. The result is a table in the shared folder."""
+    ``keep``. Without ``collapse`` the transforms settle equal segments too, one copy of a content in each shard. The
+    result is a table in the shared folder."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(name, None)
     conf.set(name, BATCH_BYTES)  # a row of a shard has about 1 MB, and batches of rows stand in memory several times
     step = Steps()
     try:
-        out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, step))
+        out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, collapse, step))
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
     step.clear()
     return out if keep else out.drop("kept")
 
 
-def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, keep: bool, shard_bytes: int, step: Steps) -> DataFrame:
+def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, keep: bool, shard_bytes: int, collapse: bool, step: Steps) -> DataFrame:
     shards = step(_shards(docs, text, doc_id, shard_bytes, length))
     total, longs = shards.agg(F.sum(F.length("data")), F.count("long")).first()
     buckets = max(1, math.ceil((total or 0) / ((length - GRAM + 2) / 2) / ANCHORS_PER_BUCKET))
@@ -389,7 +395,7 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
     def decide(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b.as_buffer(), _U).reshape(4, -1) for b in group.column("blob")]
         both = [np.concatenate([b[k] for b in blobs]) for k in range(4)]
-        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), both[3], hot)
+        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), both[3], hot, collapse)
         parts = np.split(verdict, np.cumsum([b.shape[1] for b in blobs])[:-1])
         return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) + length * int((p == HOT).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
 
