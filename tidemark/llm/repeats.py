@@ -16,8 +16,8 @@ transforms of shards, never by sorting all suffixes together:
    many documents surround differently) is cut into its windows, each dealt by its own content.
 4. Those come together in buckets with their bytes. The segments of neighbouring shards, about 64 kB, are a piece; each
    piece's transform is made, and the transforms are merged by refining their interleave: where the rows stand in order of their first h
-   bytes, a stable distribution by the two bytes before gives the order by h + 2 bytes. A row boundary that appears
-   then has a common prefix of h or h + 1 bytes, so at ``length`` bytes the rows between boundaries are the
+   bytes, a stable distribution by the five bytes before, which are a letter, gives the order by h + 5 bytes. A row
+   boundary that appears then has a common prefix of h to h + 4 bytes, so at ``length`` bytes the rows between boundaries are the
    intervals of repeated strings. A window is repeated if the least doc_id of its interval is less than its own.
 5. Marks go back to the shards, which cover and cut the texts.
 
@@ -48,8 +48,12 @@ SHARD_BYTES = 1 << 18
 #: Most bytes of an Arrow batch while the operator runs.
 BATCH_BYTES = 2 << 20
 ANCHORS_PER_BUCKET = 500_000
-#: Bytes of strings that are ordered together, and of one of the pieces whose transforms are merged.
+#: Bytes of strings that come together, and of one of the pieces whose transforms are merged.
 BUCKET_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
+#: Parts of a bucket that are ordered one by one, so that their rows stay in the processor's cache.
+PARTS = 4
+#: Bytes of a letter of the transforms.
+LETTER = 5
 BROADCAST_BYTES = 64 << 20
 LAST = np.int64((1 << 63) - 1)
 _U = np.uint64
@@ -135,47 +139,72 @@ def joined(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return text
 
 
-def transform(text: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def transform(text: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order (by the first ``depth`` bytes at least) and transform of one piece, by prefix doubling. A letter of
-    the transform is the pair of bytes before a suffix, so that the merge needs half the rounds.
+    the transform is the LETTER bytes before a suffix, named by its place in the piece's sorted alphabet, the third result.
 
     ``text`` holds strings of ``sizes`` bytes with END after each; a string is followed by itself.
     """
     n = len(text)
     size = np.repeat(sizes + 1, sizes + 1)
-    begin = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
-    into = np.arange(n) - begin
-    ahead = lambda k: begin + (into + k) % size
-    key, have = text.astype(np.int64), 7
-    for k in range(1, have):  # seven letters fill 56 bits
-        key = key << 8 | text[ahead(k)]
+    into = np.arange(n) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    begin = np.arange(n) - into
+    shortest = int(sizes.min()) + 1
+
+    def turned(k: int) -> np.ndarray:
+        """The places ``k`` bytes on, or back."""
+        at = into + k
+        if 0 <= k <= shortest:
+            at -= size * (at >= size)
+        else:
+            at %= size
+        return at + begin
+
+    letter = text.astype(np.int64)
+    pairs = letter << 8 | letter[turned(1)]
+    alphabet, code = np.unique((pairs << 16 | pairs[turned(2)]) << 8 | letter[turned(4)], return_inverse=True)
+    m = len(alphabet)
+    key, have = code * m + code[turned(LETTER)], 2 * LETTER
+    if m < 1 << 21:  # three names fill 63 bits
+        key, have = key * m + code[turned(have)], have + LETTER
     while True:
         order = np.argsort(key)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        ordered = key[order]
         if have >= depth:
             break
-        key = rank * n + rank[ahead(have)]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        key = rank * n + rank[turned(have)]
         have *= 2
-    order = np.argsort(rank, kind="stable")
-    back = lambda k: text[begin[order] + (into[order] - k) % size[order]]
-    return order, back(2).astype(np.uint16) << 8 | back(1)
+    return order, code[turned(-LETTER)][order].astype(np.int32), alphabet
+
+
+def _by(letters: np.ndarray, size: int) -> np.ndarray:
+    """Stable order by letters below ``size``, 16 bits at a time."""
+    if size <= 1 << 16:
+        return np.argsort(letters.astype(np.uint16), kind="stable")
+    order = np.argsort((letters & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[_by((letters >> 16)[order], (size >> 16) + 1)]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the transforms' rows, as rows of all transforms after one another, and the interval (equal
-    first ``depth`` bytes) of each row."""
+    first ``depth`` bytes) of each row. A transform comes as its letters and their alphabet."""
     kind = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 65536 else np.int64
-    piece = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
-    letters_of = np.concatenate(transforms)
+    piece = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t, _ in transforms])
+    alphabet = np.unique(np.concatenate([own for _, own in transforms]))
+    letters_of = np.concatenate([np.searchsorted(alphabet, own).astype(np.int32)[t] for t, own in transforms])
     rows = np.arange(len(piece), dtype=np.int32)  # what stands where in the present interleave
     straight = rows.copy()
     interval = np.zeros(len(piece), np.int32)
     new = np.empty(len(piece), bool)
-    letters_of = letters_of.astype(np.uint16)
-    for last in [0xFF] * (depth % 2) + [0xFFFF] * (depth // 2):  # an odd depth takes one byte by itself
-        letters = letters_of[rows] & last
-        order = np.argsort(letters, kind="stable")
+    rounds = [(letters_of, len(alphabet))] * (depth // LETTER)
+    if depth % LETTER:  # the first round takes the bytes left over, the last ones of a letter
+        few, name = np.unique(alphabet & ((1 << 8 * (depth % LETTER)) - 1), return_inverse=True)
+        rounds.insert(0, (name.astype(np.int32)[letters_of], len(few)))
+    for named, size in rounds:
+        letters = named[rows]
+        order = _by(letters, size)
         letters, came, piece = letters[order], interval[order], piece[order]
         new[0] = False
         np.not_equal(letters[1:], letters[:-1], out=new[1:])
@@ -193,9 +222,9 @@ def repeated_windows(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], le
     strings an earlier document has."""
     made, docs, whole, wheres = [], [], [], []
     for ids, sizes, strings in pieces:
-        order, letters = transform(joined(strings, sizes), sizes, length)
+        order, letters, alphabet = transform(joined(strings, sizes), sizes, length)
         rest = (np.repeat(np.cumsum(sizes + 1), sizes + 1) - np.arange(len(letters)))[order]  # bytes up to END, with it
-        made.append(letters)
+        made.append((letters, alphabet))
         docs.append(np.repeat(ids, sizes + 1)[order])
         whole.append(rest > length)
         wheres.append(order)
@@ -266,11 +295,13 @@ def _open(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.nd
     return data, lengths, ids, Segments(data, lengths, length)
 
 
-def _deal(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of bucket, and the first of each bucket (with the end)."""
-    bucket = (mixed(anchor) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _deal(key: np.ndarray, buckets: int, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of bucket and of part in it, the buckets that have rows, and in a line for each of these the first row of each
+    part, with the end."""
+    part = (mixed(key) % _U(buckets * parts)).astype(np.int64)
+    order = np.argsort(part.astype(np.uint16) if buckets * parts < 65536 else part, kind="stable")
+    names = np.unique(part // parts)
+    return order, names, np.searchsorted(part[order], names[:, None] * parts + np.arange(parts + 1))
 
 
 def _beside(shards: DataFrame, marks: DataFrame, step: Steps) -> DataFrame:
@@ -383,12 +414,11 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
             for i in range(len(batch)):
                 _, _, ids, own = _open(batch, i, length)
                 kept, _ = firsts(ids[own.doc], own.name)
-                order, cut = _deal(own.anchor[kept], buckets)
+                order, rows, cuts = _deal(own.anchor[kept], buckets)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
-                rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 blobs = []
-                for b in rows:
-                    at = kept[order[cut[b] : cut[b + 1]]]
+                for cut in cuts:
+                    at = kept[order[cut[0] : cut[1]]]
                     blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes() + own.beside[at].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
@@ -409,10 +439,10 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
         """The verdicts and what is to be ordered: segments that differ and, of hot anchors, single windows, each
         dealt by its own content and one for each content."""
         kept, which = firsts(ids[own.doc], own.name)
-        order, cut = _deal(own.anchor[kept], buckets)
-        verdict = np.zeros(len(kept), np.uint8)
-        for b, blob in _marks_of(batch, i, column).items():
-            verdict[order[cut[b] : cut[b + 1]]] = np.frombuffer(blob, np.uint8)
+        order, rows, cuts = _deal(own.anchor[kept], buckets)
+        verdict, marks = np.zeros(len(kept), np.uint8), _marks_of(batch, i, column)
+        for b, cut in zip(rows.tolist(), cuts, strict=True):
+            verdict[order[cut[0] : cut[1]]] = np.frombuffer(marks[b], np.uint8)
         doc = ids[own.doc]
         later = doc > doc[kept][which] if len(kept) else np.zeros(0, bool)
         verdict = np.where(later, REPEATED, verdict[which]) if len(kept) else verdict
@@ -430,38 +460,43 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
             for i in range(len(batch)):
                 data, _, ids, own = _open(batch, i, length)
                 _, (first, count, key, doc), _ = units(batch, i, "marks", data, ids, own)
-                order, cut = _deal(key, pieces)
+                order, rows, cuts = _deal(key, pieces, PARTS)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
-                rows = [b for b in range(pieces) if cut[b] < cut[b + 1]]
-                blobs: list[list[bytes]] = [[], [], []]
-                for b in rows:
-                    take = order[cut[b] : cut[b + 1]]
+                blobs: list[list[bytes]] = [[], [], [], []]
+                for cut in cuts:
+                    take = order[cut[0] : cut[-1]]
                     size = count[take] + length - 1
-                    for out, part in zip(blobs, (doc[take], size, data[_gathered(first[take], size)]), strict=True):
+                    for out, part in zip(blobs, (np.diff(cut), doc[take], size, data[_gathered(first[take], size)]), strict=True):
                         out.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["shard", "bucket", "docs", "sizes", "strings"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["shard", "bucket", "parts", "docs", "sizes", "strings"])
 
     def order_windows(group: pa.Table) -> pa.Table:
-        """Strings of shards are joined to pieces of about PIECE_BYTES, in the order of the shards' names."""
+        """Part by part, strings of shards are joined to pieces of about PIECE_BYTES, in the order of the shards' names."""
         shard = group.column("shard").to_pylist()
         by = sorted(range(len(shard)), key=shard.__getitem__)
-        get = lambda name, k, kind: np.frombuffer(group.column(name)[k].as_buffer(), kind)
-        pieces, now, filled = [], [], 0
-        for k in by:
-            now.append(k)
-            filled += group.column("strings")[k].as_buffer().size
-            if filled >= PIECE_BYTES or k == by[-1]:
-                pieces.append(now)
-                now, filled = [], 0
-        found = repeated_windows([tuple(np.concatenate([get(name, k, kind) for k in own]) for name, kind in (("docs", np.int64), ("sizes", np.int64), ("strings", np.uint8))) for own in pieces], length)
-        blobs: list[bytes] = [b""] * len(shard)
-        for own, flags in zip(pieces, found, strict=True):
-            counts = [int((get("sizes", k, np.int64) - length + 1).sum()) for k in own]
-            for k, part in zip(own, np.split(flags, np.cumsum(counts)[:-1]), strict=True):
-                blobs[k] = zlib.compress(np.packbits(part).tobytes(), 1)
+        columns = [[np.frombuffer(b.as_buffer(), kind) for b in group.column(name)] for name, kind in (("parts", np.int64), ("docs", np.int64), ("sizes", np.int64), ("strings", np.uint8))]
+        at, byte = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+        flags: list[list[np.ndarray]] = [[] for _ in shard]
+        for part in range(PARTS):
+            made, now, filled = [], [], 0
+            for k in by:
+                parts, docs, sizes, strings = (c[k] for c in columns)
+                upto = at[k] + parts[part]
+                own = sizes[at[k] : upto]
+                now.append((k, docs[at[k] : upto], own, strings[byte[k] : byte[k] + own.sum()]))
+                at[k], byte[k], filled = upto, byte[k] + own.sum(), filled + own.sum()
+                if filled and (filled >= PIECE_BYTES or k == by[-1]):
+                    made.append(now)
+                    now, filled = [], 0
+            found = repeated_windows([tuple(np.concatenate(c) for c in list(zip(*own, strict=True))[1:]) for own in made], length) if made else []
+            for own, hits in zip(made, found, strict=True):
+                ends = np.cumsum([(sizes - length + 1).sum() for _, _, sizes, _ in own])
+                for (k, *_), some in zip(own, np.split(hits, ends[:-1]), strict=True):
+                    flags[k].append(some)
+        blobs = [zlib.compress(np.packbits(np.concatenate(f)).tobytes(), 1) for f in flags]
         return pa.table([group.column("shard"), group.column("bucket"), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
 
-    brought = marked.select("shard", "ids", "lengths", "data", "marks").mapInArrow(bring, "shard binary, bucket bigint, docs binary, sizes binary, strings binary")
+    brought = marked.select("shard", "ids", "lengths", "data", "marks").mapInArrow(bring, "shard binary, bucket bigint, parts binary, docs binary, sizes binary, strings binary")
     windows = brought.groupBy("bucket").applyInArrow(order_windows, "shard binary, bucket bigint, blob binary")
     final = _beside(marked.withColumnRenamed("marks", "verdicts"), step(windows), step)
 
@@ -475,13 +510,14 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
                 whole = verdict == REPEATED
                 np.add.at(diff, own.first[whole], 1)
                 np.add.at(diff, own.first[whole] + own.count[whole] + length - 1, -1)
-                order, cut = _deal(key, pieces)
+                order, rows, cuts = _deal(key, pieces, PARTS)
                 place = np.cumsum(count) - count
                 hit = np.zeros(int(count.sum()), bool)  # a flag for each window of each unit
-                for b, blob in _marks_of(batch, i, "marks").items():
-                    take = order[cut[b] : cut[b + 1]]
+                marks = _marks_of(batch, i, "marks")
+                for b, cut in zip(rows.tolist(), cuts, strict=True):
+                    take = order[cut[0] : cut[-1]]
                     n = count[take]
-                    hit[_gathered(place[take], n)] = np.unpackbits(np.frombuffer(blob, np.uint8))[: n.sum()].astype(bool)
+                    hit[_gathered(place[take], n)] = np.unpackbits(np.frombuffer(marks[b], np.uint8))[: n.sum()].astype(bool)
                 windows = np.repeat(first - place, count) + np.arange(len(hit))
                 found = np.r_[windows[hit], starts[behind | hit[place[of_unit]]]] if len(starts) else windows[hit]
                 np.add.at(diff, found, 1)
