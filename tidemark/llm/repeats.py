@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +48,9 @@ SHARD_BYTES = 1 << 18
 BATCH_BYTES = 2 << 20
 ANCHORS_PER_BUCKET = 500_000
 #: Bytes of strings that come together, and of one of the pieces whose transforms are merged.
-BUCKET_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
+BUCKET_BYTES, PIECE_BYTES = 1 << 22, 1 << 16
 #: Parts of a bucket that are ordered one by one, so that their rows stay in the processor's cache.
-PARTS = 4
+PARTS = 16
 #: Bytes of a letter of the transforms.
 LETTER = 5
 BROADCAST_BYTES = 64 << 20
@@ -304,6 +303,45 @@ def _deal(key: np.ndarray, buckets: int, parts: int = 1) -> tuple[np.ndarray, np
     return order, names, np.searchsorted(part[order], names[:, None] * parts + np.arange(parts + 1))
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for the elements of ``data`` between each two of ``ends``."""
+    offsets = (ends * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary column, one after another, and how many each has."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)), np.diff(ends)
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, bits: int) -> pa.Array:
+    """A binary value for each of ``counts``, with so many of ``values`` at ``bits`` bits each."""
+    many = 8 // bits
+    ends = np.r_[0, np.cumsum(-(-counts // many))]
+    flat = np.zeros(ends[-1] * many, np.uint8)
+    flat[_gathered(ends[:-1] * many, counts)] = values
+    out = np.zeros(ends[-1], np.uint8)
+    for k in range(many):
+        out |= flat[k::many] << (bits * k)
+    return _binary(out, ends)
+
+
+def _unpacked(data: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """The values that ``_packed`` made the bytes ``data`` of."""
+    many = 8 // bits
+    ends = np.cumsum(-(-counts // many))
+    if len(data) != (ends[-1] if len(ends) else 0):
+        raise ValueError("the marks of a shard are not those of its rows")
+    flat = ((data[:, None] >> (np.arange(many, dtype=np.uint8) * bits)) & ((1 << bits) - 1)).ravel()
+    return flat[_gathered((ends + counts // -many) * many, counts)]
+
+
 def _beside(shards: DataFrame, marks: DataFrame, step: Steps) -> DataFrame:
     """``shards`` with the array ``marks`` of (bucket, blob); broadcast only if its bytes are few."""
     grouped = step(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "blob")).alias("marks")))
@@ -326,9 +364,13 @@ def firsts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at[np.r_[True, group[at][1:] != group[at][:-1]]]], own
 
 
-def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
-    got = batch.column(batch.schema.get_field_index(name))[i].as_py() or []
-    return {m["bucket"]: zlib.decompress(m["blob"]) for m in got}
+def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> np.ndarray:
+    """The bytes of a shard's marks in order of their buckets."""
+    got = batch.column(batch.schema.get_field_index(name))[i].values
+    if got is None:
+        return np.zeros(0, np.uint8)
+    bucket, blob = got.flatten()
+    return _bytes(blob.take(pa.array(np.argsort(bucket.to_numpy(zero_copy_only=False)))))[0]
 
 
 NONE, REPEATED, DIFFERS, HOT = 0, 1, 2, 3
@@ -416,18 +458,18 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
                 kept, _ = firsts(ids[own.doc], own.name)
                 order, rows, cuts = _deal(own.anchor[kept], buckets)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
-                blobs = []
-                for cut in cuts:
-                    at = kept[order[cut[0] : cut[1]]]
-                    blobs.append(own.anchor[at].tobytes() + own.name[at].tobytes() + ids[own.doc[at]].tobytes() + own.beside[at].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
+                kept = kept[order]
+                both = np.stack([own.anchor[kept], own.name[kept], ids[own.doc[kept]].view(_U), own.beside[kept]], 1)
+                blobs = _binary(both.ravel(), 4 * np.r_[cuts[:, 0], len(kept)])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), blobs], names=["shard", "bucket", "blob"])
 
     def decide(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_buffer(), _U).reshape(4, -1) for b in group.column("blob")]
-        both = [np.concatenate([b[k] for b in blobs]) for k in range(4)]
-        verdict = judge_anchors(both[0], both[1], both[2].view(np.int64), both[3], hot, collapse)
-        parts = np.split(verdict, np.cumsum([b.shape[1] for b in blobs])[:-1])
-        return pa.table([group.column("shard"), group.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), pa.array([int((p == DIFFERS).sum()) + length * int((p == HOT).sum()) for p in parts], pa.int64())], names=["shard", "bucket", "blob", "differ"])
+        data, sizes = _bytes(group.column("blob"))
+        both, counts = data.view(_U).reshape(-1, 4), sizes // 32
+        verdict = judge_anchors(both[:, 0].copy(), both[:, 1].copy(), both[:, 2].copy().view(np.int64), both[:, 3].copy(), hot, collapse)
+        starts = np.cumsum(counts) - counts
+        differ = np.add.reduceat(np.array([0, 0, 1, length])[verdict], starts)
+        return pa.table([group.column("shard"), group.column("bucket"), _packed(verdict, counts, 2), pa.array(differ, pa.int64())], names=["shard", "bucket", "blob", "differ"])
 
     dealt = shards.select("shard", "ids", "lengths", "data").mapInArrow(anchors, "shard binary, bucket bigint, blob binary")
     verdicts = step(dealt.groupBy("bucket").applyInArrow(decide, "shard binary, bucket bigint, blob binary, differ bigint"))
@@ -439,10 +481,9 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
         """The verdicts and what is to be ordered: segments that differ and, of hot anchors, single windows, each
         dealt by its own content and one for each content."""
         kept, which = firsts(ids[own.doc], own.name)
-        order, rows, cuts = _deal(own.anchor[kept], buckets)
-        verdict, marks = np.zeros(len(kept), np.uint8), _marks_of(batch, i, column)
-        for b, cut in zip(rows.tolist(), cuts, strict=True):
-            verdict[order[cut[0] : cut[1]]] = np.frombuffer(marks[b], np.uint8)
+        order, _, cuts = _deal(own.anchor[kept], buckets)
+        verdict = np.zeros(len(kept), np.uint8)
+        verdict[order] = _unpacked(_marks_of(batch, i, column), cuts[:, 1] - cuts[:, 0], 2)
         doc = ids[own.doc]
         later = doc > doc[kept][which] if len(kept) else np.zeros(0, bool)
         verdict = np.where(later, REPEATED, verdict[which]) if len(kept) else verdict
@@ -462,39 +503,32 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
                 _, (first, count, key, doc), _ = units(batch, i, "marks", data, ids, own)
                 order, rows, cuts = _deal(key, pieces, PARTS)
                 shard = batch.column(batch.schema.get_field_index("shard"))[i].as_py()
-                blobs: list[list[bytes]] = [[], [], [], []]
-                for cut in cuts:
-                    take = order[cut[0] : cut[-1]]
-                    size = count[take] + length - 1
-                    for out, part in zip(blobs, (np.diff(cut), doc[take], size, data[_gathered(first[take], size)]), strict=True):
-                        out.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["shard", "bucket", "parts", "docs", "sizes", "strings"])
+                sizes, ends = count[order] + length - 1, np.r_[cuts[:, 0], len(order)]
+                blobs = [_binary(np.diff(cuts).ravel(), np.arange(len(rows) + 1) * PARTS), _binary(doc[order], ends), _binary(sizes, ends)]
+                blobs.append(_binary(data[_gathered(first[order], sizes)], np.r_[0, np.cumsum(sizes)][ends]))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.binary()), pa.array(rows, pa.int64()), *blobs], names=["shard", "bucket", "parts", "docs", "sizes", "strings"])
 
     def order_windows(group: pa.Table) -> pa.Table:
-        """Part by part, strings of shards are joined to pieces of about PIECE_BYTES, in the order of the shards' names."""
+        """Part by part, strings in the order of their shards' names are joined to pieces of about PIECE_BYTES."""
         shard = group.column("shard").to_pylist()
-        by = sorted(range(len(shard)), key=shard.__getitem__)
-        columns = [[np.frombuffer(b.as_buffer(), kind) for b in group.column(name)] for name, kind in (("parts", np.int64), ("docs", np.int64), ("sizes", np.int64), ("strings", np.uint8))]
-        at, byte = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
-        flags: list[list[np.ndarray]] = [[] for _ in shard]
-        for part in range(PARTS):
-            made, now, filled = [], [], 0
-            for k in by:
-                parts, docs, sizes, strings = (c[k] for c in columns)
-                upto = at[k] + parts[part]
-                own = sizes[at[k] : upto]
-                now.append((k, docs[at[k] : upto], own, strings[byte[k] : byte[k] + own.sum()]))
-                at[k], byte[k], filled = upto, byte[k] + own.sum(), filled + own.sum()
-                if filled and (filled >= PIECE_BYTES or k == by[-1]):
-                    made.append(now)
-                    now, filled = [], 0
-            found = repeated_windows([tuple(np.concatenate(c) for c in list(zip(*own, strict=True))[1:]) for own in made], length) if made else []
-            for own, hits in zip(made, found, strict=True):
-                ends = np.cumsum([(sizes - length + 1).sum() for _, _, sizes, _ in own])
-                for (k, *_), some in zip(own, np.split(hits, ends[:-1]), strict=True):
-                    flags[k].append(some)
-        blobs = [zlib.compress(np.packbits(np.concatenate(f)).tobytes(), 1) for f in flags]
-        return pa.table([group.column("shard"), group.column("bucket"), pa.array(blobs, pa.binary())], names=["shard", "bucket", "blob"])
+        rank = np.empty(len(shard), np.int64)
+        rank[sorted(range(len(shard)), key=shard.__getitem__)] = np.arange(len(shard))
+        parts, docs, sizes, strings = (_bytes(group.column(name))[0].view(kind) for name, kind in (("parts", np.int64), ("docs", np.int64), ("sizes", np.int64), ("strings", np.uint8)))
+        part = np.repeat(np.arange(len(parts)) % PARTS, parts)
+        row = np.repeat(np.arange(len(parts)) // PARTS, parts)
+        order = np.lexsort((rank[row], part))
+        ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+        count, first = sizes - length + 1, np.cumsum(sizes) - sizes
+        place = np.cumsum(count) - count
+        flags = np.zeros(int(count.sum()), np.uint8)
+        for own in (order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True) if a < b):
+            piece = (np.cumsum(sizes[own]) - sizes[own]) // PIECE_BYTES
+            pieces = np.split(own, np.flatnonzero(np.diff(piece)) + 1)
+            found = repeated_windows([(docs[k], sizes[k], strings[_gathered(first[k], sizes[k])]) for k in pieces], length)
+            for k, hits in zip(pieces, found, strict=True):
+                flags[_gathered(place[k], count[k])] = hits
+        counts = np.bincount(row, count, len(shard)).astype(np.int64)
+        return pa.table([group.column("shard"), group.column("bucket"), _packed(flags, counts, 1)], names=["shard", "bucket", "blob"])
 
     brought = marked.select("shard", "ids", "lengths", "data", "marks").mapInArrow(bring, "shard binary, bucket bigint, parts binary, docs binary, sizes binary, strings binary")
     windows = brought.groupBy("bucket").applyInArrow(order_windows, "shard binary, bucket bigint, blob binary")
@@ -510,14 +544,11 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
                 whole = verdict == REPEATED
                 np.add.at(diff, own.first[whole], 1)
                 np.add.at(diff, own.first[whole] + own.count[whole] + length - 1, -1)
-                order, rows, cuts = _deal(key, pieces, PARTS)
+                order, _, cuts = _deal(key, pieces, PARTS)
                 place = np.cumsum(count) - count
                 hit = np.zeros(int(count.sum()), bool)  # a flag for each window of each unit
-                marks = _marks_of(batch, i, "marks")
-                for b, cut in zip(rows.tolist(), cuts, strict=True):
-                    take = order[cut[0] : cut[-1]]
-                    n = count[take]
-                    hit[_gathered(place[take], n)] = np.unpackbits(np.frombuffer(marks[b], np.uint8))[: n.sum()].astype(bool)
+                dealt = np.diff(np.r_[0, np.cumsum(count[order])][np.r_[cuts[:, 0], len(order)]])
+                hit[_gathered(place[order], count[order])] = _unpacked(_marks_of(batch, i, "marks"), dealt, 1)
                 windows = np.repeat(first - place, count) + np.arange(len(hit))
                 found = np.r_[windows[hit], starts[behind | hit[place[of_unit]]]] if len(starts) else windows[hit]
                 np.add.at(diff, found, 1)
