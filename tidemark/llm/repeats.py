@@ -365,12 +365,12 @@ def firsts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks_of(batch: pa.RecordBatch, i: int, name: str) -> np.ndarray:
-    """The bytes of a shard's marks in order of their buckets."""
+    """The bytes of a shard's marks in order of their buckets. Equal shards share a name and have equal marks, of which one set is read."""
     got = batch.column(batch.schema.get_field_index(name))[i].values
     if got is None:
         return np.zeros(0, np.uint8)
     bucket, blob = got.flatten()
-    return _bytes(blob.take(pa.array(np.argsort(bucket.to_numpy(zero_copy_only=False)))))[0]
+    return _bytes(blob.take(pa.array(np.unique(bucket.to_numpy(zero_copy_only=False), return_index=True)[1])))[0]
 
 
 NONE, REPEATED, DIFFERS, HOT = 0, 1, 2, 3
