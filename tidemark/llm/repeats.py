@@ -3,7 +3,7 @@
 The suffixes that matter are those of repeated strings, and their order is found by merging Burrows-Wheeler
 transforms of shards, never by sorting all suffixes together:
 
-1. Texts are packed into shards of about 256 kB, written once as a table. A longer text is cut into shards that overlap
+1. Texts are packed into shards of about 160 kB, written once as a table. A longer text is cut into shards that overlap
    by ``length`` - 1 bytes, and put together again at the end.
 2. In every ``length``-byte window the ``GRAM``-byte string with the least hash is its anchor (the rightmost, if
    several are equal). The windows of one anchor follow each other and make a segment. An anchor is chosen by the
@@ -43,14 +43,14 @@ from tidemark.llm.common import Steps, materialize, workers
 from tidemark.llm.sketch import mixed
 
 GRAM = 16
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 160 << 10
 #: Most bytes of an Arrow batch while the operator runs.
 BATCH_BYTES = 2 << 20
 ANCHORS_PER_BUCKET = 500_000
 #: Bytes of strings that come together, and of one of the pieces whose transforms are merged.
-BUCKET_BYTES, PIECE_BYTES = 1 << 22, 1 << 16
+BUCKET_BYTES, PIECE_BYTES = 1 << 21, 1 << 16
 #: Parts of a bucket that are ordered one by one, so that their rows stay in the processor's cache.
-PARTS = 16
+PARTS = 8
 #: Bytes of a letter of the transforms.
 LETTER = 5
 BROADCAST_BYTES = 64 << 20
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     result is a table in the shared folder."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(name, None)
-    conf.set(name, BATCH_BYTES)  # a row of a shard has about 256 kB, and batches of rows stand in memory several times
+    conf.set(name, BATCH_BYTES)  # a row of a shard has about 160 kB, and batches of rows stand in memory several times
     step = Steps()
     try:
         out = materialize(_removed(docs, text, doc_id, length, hot, keep, shard_bytes, collapse, step))
