@@ -299,6 +299,28 @@ def test_merge_equals_one_sort():
         assert found.tolist() == [seen[s[k : k + 6]] < i for i, s in zip(ids, strings, strict=True) for k in range(len(s) - 5)]
 
 
+def test_marks_and_wide_alphabets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for bits in (1, 2):
+        counts = rng.integers(0, 20, 30)
+        values = rng.integers(0, 1 << bits, counts.sum()).astype(np.uint8)
+        data, sizes = repeats._bytes(repeats._packed(values, counts, bits))
+        assert sizes.tolist() == (-(-counts * bits // 8)).tolist()
+        assert np.array_equal(repeats._unpacked(data, counts, bits), values)
+    with pytest.raises(ValueError):
+        repeats._unpacked(data[1:], counts, bits)
+    for size in (300, 1 << 16, 200_000):
+        letters = rng.integers(0, size, 5000).astype(np.int32)
+        assert np.array_equal(repeats._by(letters, size), np.argsort(letters, kind="stable"))
+    # strings without a common alphabet, in two pieces of more than 65,536 letters
+    flat = [(np.arange(k, k + 900), np.full(900, 60), rng.integers(0, 250, 54_000).astype(np.uint8)) for k in (0, 900)]
+    flat[1][2][:60] = flat[0][2][60:120]
+    found = repeats.repeated_windows(flat, 50)
+    assert not found[0].any() and found[1][:11].all() and not found[1][11:].any()
+
+
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body class='has-sidebar'><nav><ul><li><a href=x>Menu</a></ul></nav><div class=ad>Buy</div><div id='cookie-notice'>Cookies</div><article><h1>Head &amp; more</h1><p>One <b>two<br>three</b>\n four<p>{0}<ul><li>x<li>y</ul><form><input>Send</form></article><div class=comments><p>Nice!</p></div><aside>Side</aside><footer>&copy; {1}</footer></body>"
 
 

@@ -54,6 +54,8 @@ PARTS = 8
 #: Bytes of a letter of the transforms.
 LETTER = 5
 BROADCAST_BYTES = 64 << 20
+#: Tasks that a shuffle by buckets has at most, unless the session asks for more.
+TASKS = 2000
 LAST = np.int64((1 << 63) - 1)
 _U = np.uint64
 _LETTERS = mixed(np.arange(1, 257, dtype=_U))
@@ -342,6 +344,12 @@ def _unpacked(data: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     return flat[_gathered((ends + counts // -many) * many, counts)]
 
 
+def _tasks(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` dealt to a task for each bucket, up to TASKS tasks or, if these are more, the session's shuffle
+    partitions. A task takes its buckets one by one."""
+    return rows.repartition(min(buckets, max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "bucket")
+
+
 def _beside(shards: DataFrame, marks: DataFrame, step: Steps) -> DataFrame:
     """``shards`` with the array ``marks`` of (bucket, blob); broadcast only if its bytes are few."""
     grouped = step(marks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "blob")).alias("marks")))
@@ -472,7 +480,7 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
         return pa.table([group.column("shard"), group.column("bucket"), _packed(verdict, counts, 2), pa.array(differ, pa.int64())], names=["shard", "bucket", "blob", "differ"])
 
     dealt = shards.select("shard", "ids", "lengths", "data").mapInArrow(anchors, "shard binary, bucket bigint, blob binary")
-    verdicts = step(dealt.groupBy("bucket").applyInArrow(decide, "shard binary, bucket bigint, blob binary, differ bigint"))
+    verdicts = step(_tasks(dealt, buckets).groupBy("bucket").applyInArrow(decide, "shard binary, bucket bigint, blob binary, differ bigint"))
     differ = verdicts.agg(F.sum("differ")).first()[0] or 0
     pieces = max(1, math.ceil(differ * (length + GRAM) / BUCKET_BYTES))
     marked = _beside(shards, verdicts.select("shard", "bucket", "blob"), step)
@@ -531,7 +539,7 @@ def _removed(docs: DataFrame, text: str, doc_id: str, length: int, hot: int, kee
         return pa.table([group.column("shard"), group.column("bucket"), _packed(flags, counts, 1)], names=["shard", "bucket", "blob"])
 
     brought = marked.select("shard", "ids", "lengths", "data", "marks").mapInArrow(bring, "shard binary, bucket bigint, parts binary, docs binary, sizes binary, strings binary")
-    windows = brought.groupBy("bucket").applyInArrow(order_windows, "shard binary, bucket bigint, blob binary")
+    windows = _tasks(brought, pieces).groupBy("bucket").applyInArrow(order_windows, "shard binary, bucket bigint, blob binary")
     final = _beside(marked.withColumnRenamed("marks", "verdicts"), step(windows), step)
 
     def cut_texts(batches):
