@@ -299,6 +299,27 @@ def test_merge_equals_one_sort():
         assert found.tolist() == [seen[s[k : k + 6]] < i for i, s in zip(ids, strings, strict=True) for k in range(len(s) - 5)]
 
 
+def test_a_window_of_many_shards_is_ordered_once():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    common, n = rng.integers(97, 122, 50).astype(np.uint8), 20_000  # in as many shards, beside strings of one window and of more
+    pieces = [(np.arange(a + 5, a + 5 + 1000), np.full(1000, 50), np.tile(common, 1000)) for a in range(0, n, 1000)]
+    other = rng.integers(97, 122, 80).astype(np.uint8)
+    pieces.append((np.array([9, 9, 7, 3, 8]), np.array([50, 50, 80, 51, 50]), np.concatenate([other[:50], common, other, np.r_[common, other[:1]], other[:50]])))
+    pieces.append((np.array([5, 3]), np.array([50, 50]), np.tile(common, 2)))
+    tracemalloc.start()
+    found = repeats.repeated_windows(pieces, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(hits.all() for hits in found[:-2])  # document 3 has it first
+    assert found[-2].tolist() == [True, True] + [False] * 31 + [False, False] + [True]
+    assert found[-1].tolist() == [True, False]
+    assert peak < 20 << 20, peak
+
+
 def test_marks_and_wide_alphabets():
     import numpy as np
 

@@ -220,7 +220,41 @@ def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[
 
 def repeated_windows(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
     """Of each piece (doc_ids and sizes of its strings, and the strings one after another), which windows of its
-    strings an earlier document has."""
+    strings an earlier document has.
+
+    Equal strings of one window, of which a passage that most shards hold gives one for each shard, are ordered once, for their
+    least doc_id: so memory grows with the contents, not with the shards.
+    """
+    ids, sizes = (np.concatenate([p[k] for p in pieces]) for k in (0, 1))
+    first, strings = np.cumsum(sizes) - sizes, np.concatenate([p[2] for p in pieces])
+    single = np.flatnonzero(sizes == length)
+    kept = np.ones(len(sizes), bool)
+    if len(single):
+        content = np.lib.stride_tricks.sliding_window_view(strings, length)[first[single]].view(np.dtype((np.void, length))).ravel()
+        least, of = firsts(ids[single], np.unique(content, return_inverse=True)[1])
+        kept[single] = False
+        kept[single[least]] = True
+    del strings
+    ends = np.cumsum([0, *(len(p[1]) for p in pieces)])
+    left = [kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    found = iter(_ordered([(i[k], n[k], s[np.repeat(k, n)]) for (i, n, s), k in zip(pieces, left, strict=True) if k.any()], length))
+    out = []
+    for (_, n, _), k in zip(pieces, left, strict=True):
+        count = n - length + 1
+        flags = np.zeros(int(count.sum()), bool)
+        if k.any():
+            flags[np.repeat(k, count)] = next(found)
+        out.append(flags)
+    if not kept.all():
+        at = np.cumsum(np.concatenate([n - length + 1 for _, n, _ in pieces])) - 1  # a string's last window, its only one here
+        every = np.concatenate(out)
+        every[at[single]] = every[at[single[least]]][of] | (ids[single] > ids[single[least]][of])
+        out = np.split(every, np.cumsum([len(flags) for flags in out])[:-1])
+    return out
+
+
+def _ordered(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """``repeated_windows`` by the order of all strings."""
     made, docs, whole, wheres = [], [], [], []
     for ids, sizes, strings in pieces:
         order, letters, alphabet = transform(joined(strings, sizes), sizes, length)
