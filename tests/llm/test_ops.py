@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tests.llm import brute
-from tidemark.llm import chats, classifier, decontaminate, extract, lines, mixing, quality, queries, repeats, sketch, tokens
+from tidemark.llm import chats, classifier, common, decontaminate, extract, lines, mixing, quality, queries, repeats, sketch, tokens
 
 SF = "/root/testdata/sf0.001"
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_words", T.StringType()), T.StructField("score", T.StringType()), T.StructField("size", T.StringType())])
@@ -247,6 +247,36 @@ def test_near(spark, awkward, docs, empty, monkeypatch):
     assert sorted(got, key=str) == sorted([(None, 59, None, True), (None, 0, None, True), (3, 59, 3, True), (3, 59, 3, True)], key=str)
 
 
+def test_near_shuffles_no_sketch_outside_clusters(spark, monkeypatch):
+    rng = random.Random(7)
+    made = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(20)]
+    made += [(100 + i, t + " end") for i, t in made[:9]] + [(200 + i, t) for i, t in made[:4]]
+    df, plans, keep = spark.createDataFrame(made, "doc_id long, text string"), [], common.materialize
+
+    def seen(table):
+        if {"names", "bands", "registers"} <= set(table.columns) and "pivot" not in table.columns:
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return keep(table)
+
+    monkeypatch.setattr(common, "materialize", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # of tables that are small by hint alone
+    try:
+        want = {r["doc_id"]: r["component_id"] for r in sketch.find_groups(df, words=2).collect()}
+        # texts and sketches of clusters, and sketches of classes, are found by broadcast
+        assert plans[0].count("BroadcastHashJoin") >= 3, plans[0]
+        assert {i: c for i, (_, c) in brute.near_groups(made).items()} == want
+        monkeypatch.setattr(sketch, "BROADCAST_ROWS", 6)  # clusters are dealt into parts
+        assert {r["doc_id"]: r["component_id"] for r in sketch.find_groups(df, words=2).collect()} == want
+        assert plans[-1].count("BroadcastHashJoin") >= 4, plans[-1]
+        ids = spark.createDataFrame([(i,) for i in range(0, 20, 2)], "doc_id long")
+        for broadcasts in (8, 1):  # by parts, and by shuffle
+            monkeypatch.setattr(sketch, "BROADCASTS", broadcasts)
+            assert sorted(r["doc_id"] for r in sketch.among(df, ids, "doc_id").collect()) == list(range(0, 20, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_registers_merge_and_estimate():
     import numpy as np
 

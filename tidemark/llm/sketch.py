@@ -29,6 +29,7 @@ kept; columns of the input that clash with the added ones are replaced; an empty
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -51,6 +52,8 @@ PIVOTS = 2
 ROUNDS = 200
 #: Rows up to which a counted table of ids is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Tables of so many rows that ids are broadcast in, before the rows that are looked for are shuffled.
+BROADCASTS = 8
 _U = np.uint64
 _WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -217,9 +220,21 @@ def _against(rows: DataFrame, similarity: int) -> DataFrame:
     return map_batches(rows.join(pivots, "component"), make, [T.StructField("linked", T.BooleanType())], [*rows.columns, "pivot"])
 
 
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in the materialized table ``ids``. None is shuffled: beyond ``BROADCAST_ROWS`` the ids are dealt
+    into parts, each broadcast and held against all rows, and only beyond ``BROADCASTS`` parts it is a join by shuffle."""
+    parts = -(-ids.count() // BROADCAST_ROWS)
+    if parts > BROADCASTS:
+        return rows.join(ids, key, "left_semi")
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, parts)))
+    found = [rows.join(F.broadcast(ids.where(part == k) if parts > 1 else ids), key, "left_semi") for k in range(max(1, parts))]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, step: Steps) -> DataFrame:
-    """Links (a, b) within clusters."""
-    own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(small(clusters.select("node"), BROADCAST_ROWS), "node", "left_semi")
+    """Links (a, b) within clusters, of whose nodes ``nodes`` has the rows."""
+    own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
+    own = among(own, clusters.select("node"), "node")
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -232,7 +247,7 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, text: str
     limit = round(similarity * 100)
     fields = [T.StructField("names", T.BinaryType()), T.StructField("h1", T.LongType())]
     sets = map_batches(own, make, fields, ["node"]).dropDuplicates(["node", "h1"])
-    rows = step(clusters.join(nodes, "node").join(sets, ["node", "h1"]))
+    rows = step(small(clusters, BROADCAST_ROWS).join(nodes, "node").join(sets, ["node", "h1"]))
     columns, links, labelled = rows.columns, [], []
     for label in range(PIVOTS):
         held = step(_against(rows, limit))
@@ -306,12 +321,15 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     rows = step(_sketched(docs, text, doc_id, words))
     classes = step(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     # a doc_id on rows with different texts is one document: its rows are linked by their common node
-    nodes = rows.withColumnRenamed("doc_id", "node").join(small(classes, BROADCAST_ROWS), ["node", "h1", "h2"], "left_semi")
+    known, named = small(classes, BROADCAST_ROWS), rows.withColumnRenamed("doc_id", "node")
+    nodes = named.join(known, ["node", "h1", "h2"], "left_semi")
     members = nodes.select("node", F.explode("bands").alias("band"))
     shared = step(members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("band", "a"))
     stars = members.join(small(shared, BROADCAST_ROWS), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     clusters = components(stars, step)
-    links = _confirmed(clusters, nodes, docs, text, doc_id, words, similarity, step)
+    # sketches are wide, and most are of no cluster
+    clustered = among(named, clusters.select("node"), "node").join(known, ["node", "h1", "h2"], "left_semi")
+    links = _confirmed(clusters, clustered, docs, text, doc_id, words, similarity, step)
     same_id = rows.where("n_shingles > 0").join(classes, ["h1", "h2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     same_id = same_id.join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct()
     found = components(links.union(same_id), step)
